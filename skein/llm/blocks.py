@@ -34,6 +34,7 @@ class Page(NamedTuple):
     parents: list[int]  # of containers; 0 is the page
     tags: list[str]
     marks: list[str]
+    paths: list[str]  # tags and attributes from the page down, which pages of one template share
 
 
 def squeeze(text: str) -> str:
@@ -51,10 +52,10 @@ def parse(body: str | None) -> Page:
     A block tag closes an open paragraph, an end tag closes back to its nearest open match, an
     unmatched end tag is ignored, and text outside any leaf belongs to its container.
     """
-    parents, tags, marks = [0], ["page"], [""]
+    parents, tags, marks, paths = [0], ["page"], [""], [""]
     blocks: list[Block] = []
     if not body or "<" not in body:
-        return Page(blocks, parents, tags, marks)
+        return Page(blocks, parents, tags, marks, paths)
     s = _SILENT.sub(" ", body)
     stack = [0]
     leaf, leaf_marks = "", ""
@@ -129,7 +130,7 @@ def parse(body: str | None) -> Page:
                 leaf, leaf_marks = "", ""
                 continue
             leaf, leaf_marks = "", ""
-            _open(stack, parents, tags, marks, name, m[3])
+            _open(stack, parents, tags, marks, paths, name, m[3])
         elif name in _CONTAINERS:
             flush()
             leaf, leaf_marks = "", ""
@@ -141,7 +142,7 @@ def parse(body: str | None) -> Page:
                     if tags[stack[i]] == name or (name == "tr" and tags[stack[i]] in ("td", "th")):
                         del stack[i:]
                         break
-            _open(stack, parents, tags, marks, name, m[3])
+            _open(stack, parents, tags, marks, paths, name, m[3])
         elif name in _BREAKS:
             flush()
             leaf, leaf_marks = "", ""
@@ -155,11 +156,12 @@ def parse(body: str | None) -> Page:
         b._replace(marks=marks[b.node], node=parents[b.node]) if b.tag not in _LEAVES and b.tag != "table" and alone[b.node] == 1 and b.node not in inner else b
         for b in blocks
     ]
-    return Page(blocks, parents, tags, marks)
+    return Page(blocks, parents, tags, marks, paths)
 
 
-def _open(stack: list[int], parents: list[int], tags: list[str], marks: list[str], name: str, attributes: str) -> None:
+def _open(stack: list[int], parents: list[int], tags: list[str], marks: list[str], paths: list[str], name: str, attributes: str) -> None:
     parents.append(stack[-1])
     tags.append(name)
     marks.append(_marks(attributes))
+    paths.append(f"{paths[stack[-1]]}>{name}{attributes.rstrip()}")
     stack.append(len(parents) - 1)

@@ -16,8 +16,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,7 +30,9 @@ from skein.llm.words import features
 SAMPLE_PAGES = 3000
 MAX_WORDS = 60_000
 LONG, SURE = 90, 2.0
-MAIN, FURNITURE = 0, 1
+#: Labels: main body; furniture; furniture only by its words; code or table of the main body; a link in
+#: the main container, which is main body on index pages and furniture on others; heading of the main body.
+MAIN, FURNITURE, WORDED, VERBATIM, LINK, HEADING = 0, 1, 2, 3, 4, 5
 _LETTERS = re.compile(r"[\W\d_]+")
 
 # Class and id words of page furniture, and tags that are furniture by definition.
@@ -43,7 +45,13 @@ CHROME = frozenset("nav footer aside header menu form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SOLID = HEADINGS | {"pre", "table", "blockquote"}
 
-Weights = dict[str, float]
+
+class Weights(NamedTuple):
+    words: dict[str, float]  # log-odds of furniture
+    roots: dict[str, int]  # paths of containers with a first h1: pages seen with it
+
+
+NO_WEIGHTS = Weights({}, {})
 
 
 def fingerprint(key: str) -> int:
@@ -52,31 +60,41 @@ def fingerprint(key: str) -> int:
 
 def evidence(text: str, weights: Weights) -> float:
     """Log-odds that a text is furniture."""
-    get = weights.get
+    get = weights.words.get
     return sum(get(f, 0.0) for f in features(text))
 
 
-def root_of(page: Page, weights: Weights | None) -> int:
-    """The container that holds the main body: the first h1's, else the one with most prose in it."""
+def root_of(page: Page, weights: Weights) -> int:
+    """The container that holds the main body.
+
+    The first h1's; without one, the container with the path that most often holds the h1 on other
+    pages; else an article or main element; else the container with most text that is neither
+    furniture by its words nor link.
+    """
     chrome = [False] * len(page.parents)
     for i in range(1, len(page.parents)):
         chrome[i] = chrome[page.parents[i]] or page.tags[i] in CHROME
     for b in page.blocks:
         if b.tag == "h1" and not chrome[b.node]:
             return b.node
+    holders = dict.fromkeys(b.node for b in page.blocks if not chrome[b.node] and page.tags[b.node] != "noscript")
+    known = max(holders, key=lambda k: weights.roots.get(page.paths[k], 0), default=0)
+    if known and weights.roots.get(page.paths[known], 0):
+        return known
+    for name in ("article", "main"):
+        for k in holders:
+            if page.tags[k] == name:
+                return k
     score: dict[int, float] = {}
-    for i, b in enumerate(page.blocks):
+    for b in page.blocks:
         if chrome[b.node] or b.link_share > 0.6:
             value = -20.0
         else:
             value = min(len(b.text), 400) + 20.0
-            if weights is not None and evidence(b.text, weights) > 0:
+            if evidence(b.text, weights) > 0:
                 value = -value
         score[b.node] = score.get(b.node, 0.0) + value
-    if not score:
-        return 0
-    best = max(score, key=lambda k: (score[k], -k))
-    return best
+    return max(score, key=lambda k: (score[k], -k), default=0)
 
 
 def inside(page: Page, root: int) -> list[bool]:
@@ -87,39 +105,53 @@ def inside(page: Page, root: int) -> list[bool]:
     return out
 
 
-def label(page: Page, weights: Weights, index: bool = False) -> list[int]:
+def label(page: Page, weights: Weights) -> list[int]:
     """A label per block."""
     root = root_of(page, weights)
     within = inside(page, root)
-    content = any(within[b.node] and page.tags[b.node] != "noscript" for b in page.blocks)
+    content = page.tags[root] != "noscript"
     out: list[int | None] = []
     for b in page.blocks:
-        if not within[b.node] or (content and page.tags[b.node] == "noscript"):
-            out.append(FURNITURE)
-            continue
-        if any_chrome(page, b.node, root):
+        if not within[b.node] or (content and page.tags[b.node] == "noscript") or any_chrome(page, b.node, root):
             out.append(FURNITURE)
-            continue
-        words = evidence(b.text, weights)
-        short = len(b.text) < 2 * LONG
-        if b.marks and short and (NOISE.search(b.marks) or words > SURE):
+        elif b.marks and len(b.text) < 2 * LONG and (NOISE.search(b.marks) or evidence(b.text, weights) > SURE):
             out.append(FURNITURE)
         elif b.tag in SOLID:
-            out.append(MAIN)
-        elif b.link_share > 0.6 and not index:
-            out.append(FURNITURE)
-        elif words > SURE and short:
-            out.append(FURNITURE)
-        elif words < -SURE or (len(b.text) >= LONG and words <= 0):
+            out.append(VERBATIM if b.tag in ("pre", "table") else HEADING if b.tag in HEADINGS else MAIN)
+        elif b.link_share > 0.6:
+            out.append(LINK)
+        elif len(b.text) >= 2 * LONG:
             out.append(MAIN)
         else:
-            out.append(None)
-    decided = [i for i, x in enumerate(out) if x is not None and within[page.blocks[i].node]]
-    for i, x in enumerate(out):
-        if x is None:
-            near = min(decided, key=lambda j: (abs(j - i), j), default=None)
-            out[i] = MAIN if near is None else out[near]
-    return [int(x) for x in out]  # type: ignore[arg-type]
+            words = evidence(b.text, weights)
+            out.append(WORDED if words > SURE else MAIN if words < -SURE or (len(b.text) >= LONG and words <= 0) else None)
+    if None in out:
+        decided = [i for i, x in enumerate(out) if x is not None and within[page.blocks[i].node] and x != VERBATIM]
+        near = nearest(decided, len(out))
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = MAIN if near[i] < 0 or out[near[i]] in (MAIN, LINK, HEADING) else WORDED
+    return out  # type: ignore[return-value]
+
+
+def nearest(decided: list[int], n: int) -> list[int]:
+    """For every position the nearest of ``decided`` (ascending; the earlier one of two), -1 if there is none."""
+    out = [-1] * n
+    for i in decided:
+        out[i] = i
+    before, after = [-1] * n, [-1] * n
+    last = -1
+    for i in range(n):
+        last = i if out[i] >= 0 else last
+        before[i] = last
+    last = -1
+    for i in range(n - 1, -1, -1):
+        last = i if out[i] >= 0 else last
+        after[i] = last
+    for i in range(n):
+        a, b = before[i], after[i]
+        out[i] = b if a < 0 else a if b < 0 or i - a <= b - i else b
+    return out
 
 
 def any_chrome(page: Page, node: int, root: int) -> bool:
@@ -142,9 +174,13 @@ def learn(pages: list[tuple[str, str]]) -> Weights:
     open_: list[tuple[str, str, set[str], int]] = []  # site, line, features, page
     seen: dict[tuple[str, str], set[int]] = {}
     per_page: Counter = Counter()
+    roots: Counter = Counter()
     for n, (site, body) in enumerate(pages):
         page = parse(body)
-        root = root_of(page, None)
+        if not any(b.tag == "h1" for b in page.blocks):
+            continue
+        root = root_of(page, NO_WEIGHTS)
+        roots[page.paths[root]] += 1
         within = inside(page, root)
         for b in page.blocks:
             short = len(b.text) < 2 * LONG
@@ -170,7 +206,7 @@ def learn(pages: list[tuple[str, str]]) -> Weights:
         else:
             rest.append(words)
     sides: list[bool | None] = [None] * len(rest)
-    weights: Weights = {}
+    weights: dict[str, float] = {}
     for _ in range(3):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         totals = [1.0, 1.0]
@@ -186,10 +222,10 @@ def learn(pages: list[tuple[str, str]]) -> Weights:
         }
         values = [evidence_of(words, weights) for words in rest]
         sides = [True if v > SURE else False if v < -SURE else None for v in values]
-    return weights
+    return Weights(weights, dict(roots))
 
 
-def evidence_of(words: set[str], weights: Weights) -> float:
+def evidence_of(words: set[str], weights: dict[str, float]) -> float:
     get = weights.get
     return sum(get(f, 0.0) for f in words)
 
@@ -201,27 +237,22 @@ def sample_pages(pages: DataFrame, limit: int = SAMPLE_PAGES) -> list[tuple[str,
 
 
 def page_labels(pages: DataFrame, weights: Weights) -> DataFrame:
-    """(page_id, keys array<long>, labels array<int>, listed labels array<int>) for distinct pages.
-
-    ``listed`` are the labels if the page is an index page.
-    """
-    schema = "page_id long, keys array<long>, labels array<int>, listed array<int>"
-    kind = pa.schema([("page_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("labels", pa.list_(pa.int32())), ("listed", pa.list_(pa.int32()))])
+    """(page_id, keys array<long>, labels array<int>): fingerprint and label of each block of each distinct page."""
+    schema = "page_id long, keys array<long>, labels array<int>"
+    kind = pa.schema([("page_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("labels", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, labels, listed = [], [], []
+            keys, labels = [], []
             for body in batch.column(1).to_pylist():
                 page = parse(body)
                 keys.append([fingerprint(b.key) for b in page.blocks])
-                plain = label(page, weights)
-                labels.append(plain)
-                listed.append(label(page, weights, True) if any(b.link_share > 0.6 for b in page.blocks) else plain)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, kind[1].type), pa.array(labels, kind[2].type), pa.array(listed, kind[3].type)], schema=kind)
-
-    done = pages.select(F.col("page_id").cast("long").alias("page_id"), "body").mapInArrow(run, schema)
-    # Equal rows give equal arrays; of unequal rows with one id the longest page stays.
-    best = F.max_by(F.struct("keys", "labels", "listed"), F.struct(F.size("keys"), F.hash("keys", "labels")))
+                labels.append(label(page, weights))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, kind[1].type), pa.array(labels, kind[2].type)], schema=kind)
+
+    done = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "body").mapInArrow(run, schema)
+    # Equal rows give equal arrays; of unequal rows with one id the one with most blocks stays.
+    best = F.max_by(F.struct("keys", "labels"), F.struct(F.size("keys"), F.hash("keys", "labels")))
     return done.groupBy("page_id").agg(best.alias("p")).select("page_id", "p.*")
 
 
@@ -237,20 +268,25 @@ def match(units: list[int], keys: list[int], labels: list[int]) -> list[int | No
         if not at:
             out.append(None)
             continue
-        i = next((j for j in at if j > last), at[0])
+        i = at[0] if len(at) == 1 else next((j for j in at if j > last), at[0])
         last = i if i > last else last
         out.append(labels[i])
     return out
 
 
-def fill(found: list[int | None], words: list[float]) -> list[int]:
-    """Units that no page block has: by their word evidence, else like the nearest decided unit."""
-    decided = [x if x is not None else (FURNITURE if w > SURE else MAIN if w < -SURE else None) for x, w in zip(found, words)]
-    sure = [i for i, x in enumerate(decided) if x is not None]
-    out = []
-    for i, x in enumerate(decided):
-        if x is None:
-            near = min(sure, key=lambda j: (abs(j - i), j), default=None)
-            x = MAIN if near is None else decided[near]
-        out.append(int(x))
-    return out
+def settle(found: list[int | None], texts: list[str], index: bool, weights: Weights) -> list[int]:
+    """Final labels without LINK and gaps.
+
+    A unit that no page block has is furniture if other units have one in the main container (the
+    extraction took it from elsewhere); in an article without its page it is judged by its words, or
+    like the nearest unit that is.
+    """
+    found = [None if x is None else (MAIN if index else FURNITURE) if x == LINK else MAIN if x == HEADING else x for x in found]
+    if None not in found:
+        return found  # type: ignore[return-value]
+    if any(x is not None and x != FURNITURE for x in found):
+        return [FURNITURE if x is None else x for x in found]
+    words = [evidence(t, weights) for t in texts]
+    found = [x if x is not None else WORDED if w > SURE else MAIN if w < -SURE or len(t) >= 2 * LONG else None for x, w, t in zip(found, words, texts)]
+    near = nearest([i for i, x in enumerate(found) if x is not None], len(found))
+    return [MAIN if x is None and near[i] < 0 else found[near[i]] if x is None else x for i, x in enumerate(found)]  # type: ignore[misc]

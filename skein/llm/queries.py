@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm import articles
 from skein.llm.mixing import mix_sources
 from skein.llm.packing import pack
 from skein.llm.repeated_lines import flag_repeated, without_repeated
@@ -24,6 +25,17 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated(table(spark, d, "units"), table(spark, d, "pages"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return articles.judged(pages, table(spark, d, "articles"), articles.fit(pages)).where("case").select("source_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    rows = articles.judged(pages, table(spark, d, "articles"), articles.fit(pages))
+    return rows.select("source_id", F.explode("other").alias("unit_idx"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     split = split_oversized(table(spark, d, "units"), table(spark, d, "chunkconfig"))
     return split.where("piece_idx = 0").select("config_id", "source_id", "unit_idx")
@@ -57,5 +69,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p4_found, p4_pieces, p8_found, p8_packed, p9_found, p9_chosen, p9_shares)
+    for f in (p1_found, p1_clean, p3_found, p6_found, p4_found, p4_pieces, p8_found, p8_packed, p9_found, p9_chosen, p9_shares)
 }
