@@ -37,7 +37,7 @@ def judge(text: str | None, index: bool, keys: list[int] | None, labels: list[in
     if index:  # an entry is its headline and what follows it; a whole text that contains the dash comes first
         whole = match([fingerprint(squeeze(u)) for u in units], keys or [], labels or [])
         final = [f if w is None or w == main_body.LINK else MAIN if w == main_body.HEADING else w for f, w in zip(final, whole)]
-    headed = main_body.HEADING in found
+    headed = any(x == main_body.HEADING and u.rstrip()[-1:] not in ".!?。！？…" for u, x in zip(units, found))
     case, classes = models.judge.record(units, final, headed)
     if case:
         final = [MAIN if c else x for x, c in zip(final, classes)]
