@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import articles
 from skein.llm.mixing import mix_sources
+from skein.llm.near_duplicates import all_pairs, groups, near_duplicates
 from skein.llm.packing import pack
 from skein.llm.repeated_lines import flag_repeated, without_repeated
 from skein.llm.splitting import split_oversized
@@ -45,6 +46,20 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "units"), table(spark, d, "chunkconfig"))
 
 
+def _near_articles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, d, "pages")
+    bodies = articles.judged(pages, table(spark, d, "articles"), articles.fit(pages), with_body=True)
+    return near_duplicates(bodies.where("not case").select(F.col("source_id").alias("id"), "body"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return all_pairs(*_near_articles(spark, d))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return groups(*_near_articles(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     packed = pack(table(spark, d, "documents"), table(spark, d, "packconfig"))
     return packed.where("parts > 1 and part_idx = 0").select("pack_id", "doc_id")
@@ -69,5 +84,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p3_found, p6_found, p4_found, p4_pieces, p8_found, p8_packed, p9_found, p9_chosen, p9_shares)
+    for f in (p1_found, p1_clean, p3_found, p6_found, p4_found, p4_pieces, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares)
 }
