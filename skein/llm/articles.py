@@ -48,7 +48,7 @@ def judged(pages: DataFrame, articles: DataFrame, models: Models, with_body: boo
     """One row per article: source_id, case boolean, main array<int>, other array<int>, residue array<int> and, if asked for, body.
 
     ``main`` and ``other`` are the unit indexes inside and outside the main body, ``residue`` those of
-    residual units (in cases only), ``body`` the main units' texts without separator, lower-cased, only
+    units that are nothing but residue (in cases only), ``body`` the main units' texts without separator, lower-cased, only
     letters and digits. Duplicate rows count once; an article without text has no units, one without
     its page is judged by its words alone.
     """
@@ -69,7 +69,7 @@ def judged(pages: DataFrame, articles: DataFrame, models: Models, with_body: boo
                 inside = [i for i, x in enumerate(final) if x in (MAIN, VERBATIM)]
                 mains.append(inside)
                 others.append([i for i, x in enumerate(final) if x not in (MAIN, VERBATIM)])
-                residues.append([i for i, c in enumerate(classes) if c] if case else [])
+                residues.append([i for i, c in enumerate(classes) if c and models.judge.pure(units[i])] if case else [])
                 bodies.append(drop.sub("", "".join(units[i] for i in inside).lower()) if with_body and not case else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(cases, pa.bool_()), pa.array(mains, ints), pa.array(others, ints), pa.array(residues, ints), pa.array(bodies, pa.string())],

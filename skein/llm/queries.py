@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import articles
+from skein.llm import articles, languages
 from skein.llm.mixing import mix_sources
 from skein.llm.near_duplicates import all_pairs, groups, near_duplicates
 from skein.llm.packing import pack
@@ -26,6 +26,24 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated(table(spark, d, "units"), table(spark, d, "pages"))
 
 
+def _tagger(spark: SparkSession, d: str) -> languages.Crf:
+    return languages.learn(languages.sample_articles(table(spark, d, "articles")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pages, texts = table(spark, d, "pages"), table(spark, d, "articles")
+    residue = articles.judged(pages, texts, articles.fit(pages)).where("case").select("source_id", F.explode("residue").alias("unit_idx"))
+    return languages.foreign_units(table(spark, d, "units"), texts, _tagger(spark, d), residue)
+
+
+def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return languages.block_languages(table(spark, d, "units"), _tagger(spark, d), segments=True).drop("weights")
+
+
+def p2_articles(spark: SparkSession, d: str) -> DataFrame:
+    return languages.article_languages(languages.block_languages(table(spark, d, "units"), _tagger(spark, d)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     return articles.judged(pages, table(spark, d, "articles"), articles.fit(pages)).where("case").select("source_id")
@@ -84,5 +102,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p3_found, p6_found, p4_found, p4_pieces, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares)
+    for f in (p1_found, p1_clean, p2_found, p2_blocks, p2_articles, p3_found, p6_found, p4_found, p4_pieces, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares)
 }

@@ -128,6 +128,17 @@ class Judge:
                 best = NOTICE
         return best
 
+    def pure(self, text: str, shift: float = POOR_SHIFT) -> bool:
+        """Whether a unit is nothing but residue: each of its passages is."""
+        for passage in passages(text):
+            words = tokens(passage)
+            if is_trusted(passage, words):
+                continue
+            p, e = score(passage, self.model, words)
+            if p <= 0 and e + shift <= 0:
+                return False
+        return True
+
     def record(self, texts: list[str], labels: list[int], headed: bool = True) -> tuple[bool, list[int]]:
         """Whether a record is residue, and its units' classes; ``headed``: whether its main body has a heading."""
         own = [t for t, x in zip(texts, labels) if x in (MAIN, WORDED, VERBATIM)]
