@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import articles, languages
+from skein.llm import articles, languages, sentences, token_budget
 from skein.llm.mixing import mix_sources
 from skein.llm.near_duplicates import all_pairs, groups, near_duplicates
 from skein.llm.packing import pack
@@ -64,6 +64,23 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "units"), table(spark, d, "chunkconfig"))
 
 
+def _slices(spark: SparkSession, d: str) -> DataFrame:
+    blocks = languages.block_languages(table(spark, d, "units"), _tagger(spark, d))
+    return token_budget.slices(table(spark, d, "pages"), languages.article_languages(blocks))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return token_budget.miscounted(table(spark, d, "units"))
+
+
+def p5_method(spark: SparkSession, d: str) -> DataFrame:
+    return token_budget.merge_totals(table(spark, d, "units"), _slices(spark, d), token_budget.load_merges())
+
+
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    return token_budget.estimate_totals(table(spark, d, "units"), _slices(spark, d))
+
+
 def _near_articles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pages = table(spark, d, "pages")
     bodies = articles.judged(pages, table(spark, d, "articles"), articles.fit(pages), with_body=True)
@@ -100,7 +117,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mixtargets"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return sentences.sentences(documents, sentences.learn(sentences.sample_texts(documents)))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_blocks, p2_articles, p3_found, p6_found, p4_found, p4_pieces, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares)
+    for f in (p1_found, p1_clean, p2_found, p2_blocks, p2_articles, p3_found, p6_found, p4_found, p4_pieces, p5_method, p5_found, p5_totals, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares, p10_found)
 }
