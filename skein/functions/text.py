@@ -86,3 +86,109 @@ def tokenize(text: Column) -> Column:
         )
 
     return F.flatten(F.transform(words(text), expand))
+
+
+# Names of code languages recognised as bare class names.
+CODE_LANGUAGES = tuple(
+    "bash c clojure cpp cs csharp css dart diff dockerfile elixir elm erlang fsharp go graphql groovy haskell hcl html ini java javascript js json "
+    "json5 jsx julia kotlin latex less lisp lua makefile markdown matlab nginx nim objectivec ocaml perl php powershell protobuf python r ruby rust "
+    "sass scala scss shell sh sql svelte swift terraform toml ts tsx typescript vim vue xml yaml zig zsh".split()
+)
+# Separators between a title and a site name, in the order tried.
+TITLE_SEPARATORS = (" - ", " | ", " — ", " – ", " :: ", " · ")
+
+
+def strip_tags(text: Column) -> Column:
+    """Drop ``<...>``, unterminated ones included; entities and spacing stay."""
+    return F.regexp_replace(text, "<[^>]*(?:>|$)", "")
+
+
+def defuse_headings(text: Column) -> Column:
+    """Backslash before one or two leading hashes that would start a heading."""
+    return F.regexp_replace(text, r"(?m)^( {0,3})(#{1,2})( |$)", r"$1\\$2$3")
+
+
+def escape_inline(text: Column) -> Column:
+    """Backslash before square brackets."""
+    return F.replace(F.replace(text, F.lit("["), F.lit(r"\[")), F.lit("]"), F.lit(r"\]"))
+
+
+def code_fence(text: Column) -> Column:
+    """A fence of backticks longer than any run inside, three at least."""
+    longest = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("(`+)")), F.length))
+    return F.repeat(F.lit("`"), F.greatest(F.coalesce(longest, F.lit(0)), F.lit(2)) + 1)
+
+
+def normalize_language(name: Column, bare: bool = False) -> Column:
+    """A code language's lower-case name, null if it can't be one; a ``bare`` class name must be known."""
+    low = F.lower(F.regexp_replace(normalize_ws(name), '^"+|"+$', ""))
+    ok = low.rlike(r"^[a-z0-9+#-]{1,16}$")
+    return F.when(ok & low.isin(*CODE_LANGUAGES) if bare else ok, low)
+
+
+def truncate(text: Column, most: int = 1200) -> Column:
+    """The first ``most`` code points, with an ellipsis if any were cut."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+
+def clamp(text: Column, most: int = 900) -> Column:
+    """The first ``most`` code points."""
+    return F.substring(text, 1, most)
+
+
+def strip_site_suffix(title: Column, site: Column) -> Column:
+    """The title without a separator and the site's name at its end, null if there is none.
+
+    Two characters must stay.
+    """
+    name = normalize_ws(site)
+    out = F.lit(None).cast("string")
+    for separator in reversed(TITLE_SEPARATORS):
+        tail = F.concat(F.lit(separator), name)
+        head = normalize_ws(F.substr(title, F.lit(1), F.char_length(title) - F.char_length(tail)))
+        out = F.when(title.endswith(tail) & (F.char_length(head) >= 2), head).otherwise(out)
+    return F.when(name != "", out)
+
+
+def retry_after(value: Column) -> Column:
+    """Seconds of a Retry-After header, never negative; null for dates and what isn't finite."""
+    seconds = normalize_ws(value).try_cast("double")
+    return F.when(~F.isnan(seconds) & (F.abs(seconds) < float("inf")), F.greatest(seconds, F.lit(0.0)))
+
+
+def scholarly_snippet(authors: Column, date: Column, body: Column) -> Column:
+    """``A, B, C et al. (year). body``, spacing normalized, at most 1200 characters."""
+    names = F.coalesce(authors, F.array().cast("array<string>"))
+    who = F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.when(F.size(names) > 3, F.lit(" et al.")).otherwise(""))
+    year = F.regexp_extract(F.coalesce(date, F.lit("")), "^([0-9]+)", 1)
+    head = F.concat(who, F.when(year != "", F.concat(F.lit(" ("), year, F.lit(")"))).otherwise(""))
+    text = F.coalesce(body, F.lit(""))
+    return truncate(normalize_ws(F.concat(head, F.when((head != "") & (text != ""), F.lit(". ")).otherwise(""), text)))
+
+
+def search_term(text: Column) -> Column:
+    """Question marks and asterisks become blanks, spacing is normalized."""
+    return normalize_ws(F.translate(text, "?*", "  "))
+
+
+def inverted_abstract(index: Column) -> Column:
+    """Text from a map of word to positions, by position; stops behind the word that passes 1200 bytes."""
+    placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], _placed(e["key"]))))
+    words = F.transform(F.array_sort(placed), lambda p: p["word"])
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+
+    def step(acc: Column, word: Column) -> Column:
+        grown = F.when(acc["text"] == "", word).otherwise(F.concat(acc["text"], F.lit(" "), word))
+        text = F.when(acc["full"], acc["text"]).otherwise(grown)
+        return F.struct(text.alias("text"), (acc["full"] | (F.octet_length(text) > 1200)).alias("full"))
+
+    return F.aggregate(words, start, step, lambda acc: acc["text"])
+
+
+def _placed(word: Column):
+    return lambda position: F.struct(position.alias("position"), word.alias("word"))
+
+
+def compression(html_bytes: Column, markdown_bytes: Column) -> Column:
+    """The share of the page's bytes that extraction removed; 0 without a page."""
+    return F.when(html_bytes <= 0, F.lit(0.0)).otherwise(1 - F.least(F.lit(1.0), markdown_bytes / html_bytes))
