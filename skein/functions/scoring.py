@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skein.functions import bind
 from skein.functions.text import tokenize
 
 # Function words without topical content.
@@ -36,24 +37,27 @@ def boilerplate_hits(text: Column) -> Column:
 
 def density(text: Column, tokens: Column | None = None) -> Column:
     """Struct of content_ratio, numeric_ratio, type_token_ratio, boilerplate_hits and score; zeros without tokens."""
-    words = tokenize(text) if tokens is None else tokens
     stop = F.array(*(F.lit(w) for w in (*STOPWORDS_EN, *STOPWORDS_KO)))
-    n = F.size(words).cast("double")
-    content = F.size(F.filter(words, lambda w: ~F.array_contains(stop, w))) / n
-    numeric = F.size(F.filter(words, lambda w: w.rlike("[0-9]"))) / n
-    unique = F.size(F.array_distinct(words)) / n
     hits = boilerplate_hits(text)
-    raw = 0.45 * content + 0.30 * unique + 0.25 * F.least(F.lit(1.0), 3.0 * numeric)
-    score = raw * (1 - F.least(F.lit(0.9), 0.35 * hits)) * (0.4 + 0.6 * F.least(F.lit(1.0), n / 12.0))
-    some = F.size(words) > 0
     zero = F.lit(0.0)
-    return F.struct(
-        F.when(some, content).otherwise(zero).alias("content_ratio"),
-        F.when(some, numeric).otherwise(zero).alias("numeric_ratio"),
-        F.when(some, unique).otherwise(zero).alias("type_token_ratio"),
-        F.when(some, hits).otherwise(F.lit(0)).alias("boilerplate_hits"),
-        F.when(some, F.greatest(zero, F.least(F.lit(1.0), score))).otherwise(zero).alias("score"),
-    )
+
+    def measure(words: Column) -> Column:
+        n = F.size(words).cast("double")
+        content = F.size(F.filter(words, lambda w: ~F.array_contains(stop, w))) / n
+        numeric = F.size(F.filter(words, lambda w: w.rlike("[0-9]"))) / n
+        unique = F.size(F.array_distinct(words)) / n
+        raw = 0.45 * content + 0.30 * unique + 0.25 * F.least(F.lit(1.0), 3.0 * numeric)
+        score = raw * (1 - F.least(F.lit(0.9), 0.35 * hits)) * (0.4 + 0.6 * F.least(F.lit(1.0), n / 12.0))
+        some = F.size(words) > 0
+        return F.struct(
+            F.when(some, content).otherwise(zero).alias("content_ratio"),
+            F.when(some, numeric).otherwise(zero).alias("numeric_ratio"),
+            F.when(some, unique).otherwise(zero).alias("type_token_ratio"),
+            F.when(some, hits).otherwise(F.lit(0)).alias("boilerplate_hits"),
+            F.when(some, F.greatest(zero, F.least(F.lit(1.0), score))).otherwise(zero).alias("score"),
+        )
+
+    return bind(tokenize(text) if tokens is None else tokens, measure)
 
 
 def bm25_idf(n: Column, df: Column) -> Column:

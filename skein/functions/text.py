@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skein.functions import bind
+
 # The code point ranges counted as CJK by the token estimate.
 CJK_RANGES = (
     (0x1100, 0x11FF),
@@ -75,19 +77,18 @@ def tokenize(text: Column) -> Column:
     """Lower-cased words; a word that is at least half CJK gives its CJK characters, then their bigrams."""
 
     def expand(word: Column) -> Column:
-        cjk = F.regexp_replace(word, f"[^{CJK}]", "")
-        n = F.char_length(cjk)
-        pairs = F.when(
-            n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(cjk, i, F.lit(2)))
-        ).otherwise(F.array().cast("array<string>"))
-        singles = F.filter(F.split(cjk, ""), lambda c: c != "")
-        return F.when((n > 0) & (n * 2 >= F.char_length(word)), F.concat(singles, pairs)).otherwise(
-            F.array(F.lower(word))
-        )
+        return bind(F.regexp_replace(word, f"[^{CJK}]", ""), lambda cjk: _expanded(word, cjk))
 
     return F.flatten(F.transform(words(text), expand))
 
 
+def _expanded(word: Column, cjk: Column) -> Column:
+    n = F.char_length(cjk)
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(cjk, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    singles = F.filter(F.split(cjk, ""), lambda c: c != "")
+    return F.when((n > 0) & (n * 2 >= F.char_length(word)), F.concat(singles, pairs)).otherwise(F.array(F.lower(word)))
+
+
 # Names of code languages recognised as bare class names.
 CODE_LANGUAGES = tuple(
     "bash c clojure cpp cs csharp css dart diff dockerfile elixir elm erlang fsharp go graphql groovy haskell hcl html ini java javascript js json "

@@ -25,6 +25,8 @@ CLOSES = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Deeper elements become siblings: their text stays, and walks over the tree can recurse.
+MAX_DEPTH = 200
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = re.compile(r"(<(script|style)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>)(.*?)(</\2\s*>|\Z)", re.S | re.I)
@@ -166,7 +168,7 @@ class Document:
                 if lowest is not None:
                     del stack[lowest:]
             node = add(name, m[3])
-            if name not in VOID and not m[3].endswith("/"):
+            if name not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
                 stack.append(node)
         self.nodes = list(self.root.walk())
         self._measure()

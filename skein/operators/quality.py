@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import bind
 from skein.functions.text import count_tokens
 
 # Phrases that betray page furniture in extracted text.
@@ -18,18 +19,25 @@ FURNITURE = (
 def shingles(text: Column, n: int = 5) -> Column:
     """M1: distinct runs of ``n`` lower-case words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}_]+)"))
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
+
+    return bind(words, runs)
 
 
 def shingle_f1(got: Column, expected: Column) -> Column:
     """M1: struct of recall, precision and f1 of two texts' shingles; 0 where undefined."""
-    a, b = shingles(got), shingles(expected)
-    both = F.size(F.array_intersect(a, b))
-    recall = F.when(F.size(b) > 0, both / F.size(b)).otherwise(F.lit(0.0))
-    precision = F.when(F.size(a) > 0, both / F.size(a)).otherwise(F.lit(0.0))
-    f1 = F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(F.lit(0.0))
-    return F.struct(recall.alias("recall"), precision.alias("precision"), f1.alias("f1"))
+
+    def measure(pair: Column) -> Column:
+        a, b, both = pair["a"], pair["b"], F.size(F.array_intersect(pair["a"], pair["b"]))
+        recall = F.when(F.size(b) > 0, both / F.size(b)).otherwise(F.lit(0.0))
+        precision = F.when(F.size(a) > 0, both / F.size(a)).otherwise(F.lit(0.0))
+        f1 = F.when(both > 0, 2 * both / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
+        return F.struct(recall.alias("recall"), precision.alias("precision"), f1.alias("f1"))
+
+    return bind(F.struct(shingles(got).alias("a"), shingles(expected).alias("b")), measure)
 
 
 def furniture_hits(text: Column) -> Column:

@@ -87,7 +87,7 @@ def rank_hits(hits: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame
     """
     w = Window.partitionBy("query_id")
     text = F.concat_ws(" ", "title", "snippet", slug_words(F.col("url")))
-    own = hits.withColumn("tokens", tokenize(text)).withColumn("seq", F.struct("provider_pos", "rank", "hit_id"))
+    own = hits.select("query_id", "hit_id", "provider_pos", "rank", "title", "snippet", "url").withColumn("tokens", tokenize(text)).withColumn("seq", F.struct("provider_pos", "rank", "hit_id"))
     own = own.withColumn("n", F.count("*").over(w)).withColumn("avgdl", F.greatest(F.lit(1.0), F.avg(F.size("tokens")).over(w)))
     cells = own.join(query_terms(queries), "query_id").withColumn("tf", F.size(F.filter("tokens", lambda t: t == F.col("term"))))
     cells = cells.withColumn("df", F.count_if(F.col("tf") > 0).over(Window.partitionBy("query_id", "term")))

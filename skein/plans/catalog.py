@@ -101,7 +101,7 @@ def strip_site_suffix(spark: SparkSession, d: str) -> DataFrame:
 @query
 def density(spark: SparkSession, d: str) -> DataFrame:
     got = _units(spark, d, scoring.density(F.col("text")).alias("d"))
-    return got.select("source_id", "unit_idx", *(F.round(f"d.{c}", 6).alias(c) for c in ("content_ratio", "numeric_ratio", "type_token_ratio", "score")), "d.boilerplate_hits")
+    return got.select("source_id", "unit_idx", *(F.floor(F.col(f"d.{c}") * 10000 + 0.001).cast("int").alias(c) for c in ("content_ratio", "numeric_ratio", "type_token_ratio", "score")), "d.boilerplate_hits")
 
 
 @query

@@ -42,6 +42,11 @@ def _key(url: str) -> str:
     return f"CASE WHEN lower({_part(url, 1)}) IN ('http', 'https') AND {_part(url, 2)} <> '' THEN {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
 
 
+def _tenth(value: str) -> str:
+    """In ten thousandths, cut; the nudge keeps values that are exact in decimal on one side."""
+    return f"CASE WHEN n > 0 THEN CAST(floor(({value}) * 10000 + 0.001) AS INTEGER) ELSE 0 END"
+
+
 _STOP = ", ".join(f"'{w}'" for w in (*scoring.STOPWORDS_EN, *scoring.STOPWORDS_KO))
 _UNITS = f"u AS (SELECT DISTINCT ON (source_id, unit_idx) source_id, unit_idx, {tokens_of('text')} AS tokens FROM units)"
 _BM25 = f"""
@@ -95,9 +100,8 @@ d AS (
     len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) / len(w) AS m, len(list_distinct(w)) / len(w) AS t, {_contains('lower(text)', scoring.BOILERPLATE)} AS h
   FROM u
 )
-SELECT source_id, unit_idx, CASE WHEN n > 0 THEN round(c, 6) ELSE 0 END AS content_ratio, CASE WHEN n > 0 THEN round(m, 6) ELSE 0 END AS numeric_ratio,
-  CASE WHEN n > 0 THEN round(t, 6) ELSE 0 END AS type_token_ratio,
-  CASE WHEN n > 0 THEN round(greatest(0, least(1, (0.45::DOUBLE * c + 0.30::DOUBLE * t + 0.25::DOUBLE * least(1.0, 3.0 * m)) * (1 - least(0.9::DOUBLE, 0.35::DOUBLE * h)) * (0.4::DOUBLE + 0.6::DOUBLE * least(1.0, n / 12.0)))), 6) ELSE 0 END AS score,
+SELECT source_id, unit_idx, {_tenth('c')} AS content_ratio, {_tenth('m')} AS numeric_ratio, {_tenth('t')} AS type_token_ratio,
+  {_tenth('greatest(0, least(1, (0.45::DOUBLE * c + 0.30::DOUBLE * t + 0.25::DOUBLE * least(1.0, 3.0 * m)) * (1 - least(0.9::DOUBLE, 0.35::DOUBLE * h)) * (0.4::DOUBLE + 0.6::DOUBLE * least(1.0, n / 12.0))))')} AS score,
   CASE WHEN n > 0 THEN h ELSE 0 END AS boilerplate_hits
 FROM d
 """,
