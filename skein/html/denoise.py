@@ -46,7 +46,7 @@ CONTENT = _vocabulary(
 #: ``header`` and ``footer`` of a component, which say nothing about the page.
 COMPONENT = re.compile(r"(?:^|[-_\s])(?:sticky|table|col|column|row|grid|data|sort|sortable|cell|group|thead|tfoot)[-_](?:headers?|footers?)(?=[-_\s]|$)", re.I)
 _CONTRIBUTORS = frozenset("p pre td blockquote article section div li dd".split())
-_COMMAS, _STOPS = frozenset(",，、;"), frozenset(".。?!？！")
+_COMMAS, _STOPS = ",，、;", ".。?!？！"
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ def content_root(doc: Document, cfg: DenoiseConfig) -> Node | None:
         if node.name not in _CONTRIBUTORS or node.has_block or node.text_len < cfg.min_block_len or node.link_density > cfg.max_link_density:
             continue
         text = node.inner_text()
-        value = 1.0 + sum(c in _COMMAS for c in text) + 0.5 * sum(c in _STOPS for c in text) + min(3.0, node.text_len / 100)
+        value = 1.0 + sum(map(text.count, _COMMAS)) + 0.5 * sum(map(text.count, _STOPS)) + min(3.0, node.text_len / 100)
         for share, up in zip((1.0, 0.5, 1 / 3), node.ancestors(3)):
             votes[up] = votes.get(up, 0.0) + value * share
 

@@ -17,6 +17,7 @@ INLINE = frozenset(
 )
 INSPECT_BYTES = 2048
 _CITED = ("reference", "citation", "footnote", "cite")
+_MARKED = re.compile(r"[\\\[\]*`~#>]")
 _ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 _LANGUAGE = re.compile(r"(?:language-|lang-|highlight-source-|highlight-text-|sourceCode-)(.+)")
 _PLAIN_PARAGRAPHS = frozenset("p dd dt figcaption summary address".split())
@@ -41,6 +42,8 @@ class Unit(NamedTuple):
 
 def plain(markdown: str) -> str:
     """The text of inline Markdown: escapes resolved, link targets and emphasis marks gone."""
+    if not _MARKED.search(markdown):
+        return squash(markdown)
     out: list[str] = []
     in_label = False
     i, n = 0, len(markdown)

@@ -32,12 +32,11 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>
 _RAW = re.compile(r"(<(script|style)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>)(.*?)(</\2\s*>|\Z)", re.S | re.I)
 _INSTRUCTION = re.compile(r"<\?[^>]*>")
 _STRAY = re.compile(r"<(?=[^a-zA-Z/!])")
-_BLANKS = re.compile(r"\s+")
 
 
 def squash(text: str) -> str:
     """Runs of Unicode white space as one blank, trimmed."""
-    return _BLANKS.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def repair(source: str) -> str:

@@ -17,7 +17,7 @@ from skein.operators.slim import slim
 from skein.pipeline import research
 from skein.plans import oracles
 from skein.sources import crawl, payloads
-from skein.tables import table
+from skein.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,7 +212,7 @@ def research_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
-    return extract(table(spark, d, "pages"))
+    return extract(spread(table(spark, d, "pages").select("page_id", "final_url", "body")))
 
 
 @query
