@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import SPACE
+from skein.llm.sampling import lowest
 
-SAMPLE_ARTICLES = 700
+SAMPLE_ARTICLES = 600
 BUCKETS = 1 << 17
 WIDTH = 12  # features of a word
 STEPS = 12
@@ -289,7 +290,7 @@ class Tagger:
 def sample_articles(articles: DataFrame, limit: int = SAMPLE_ARTICLES) -> list[tuple[str, list[str]]]:
     """(stated language, block texts) of at most ``limit`` articles, the same ones at every run."""
     coded = articles.select("source_id", label_code(F.col("language")).alias("code"), "text").where(F.col("text").isNotNull())
-    rows = coded.orderBy(F.xxhash64("source_id"), "source_id").limit(limit).select("code", "text").collect()
+    rows = lowest(coded, "source_id", limit, articles.count()).select("code", "text").collect()
     return [(r.code or "", r.text.split("\n\n")) for r in rows]
 
 

@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from skein.llm.blocks import Page, parse, squeeze
 from skein.llm.repeated_lines import site_of
+from skein.llm.sampling import lowest
 from skein.llm.words import features
 
-SAMPLE_PAGES = 3000
+SAMPLE_PAGES = 2500
 MAX_WORDS = 60_000
 LONG, SURE = 90, 2.0
 #: Labels: main body; furniture; furniture only by its words; code or table of the main body; a link in
@@ -170,8 +171,14 @@ def learn(pages: list[tuple[str, str]]) -> Weights:
     out). Main: long text and headings in it. Other short text is labelled by the evidence so far, and
     the evidence is counted again with it, twice.
     """
-    fixed: list[tuple[set[str], bool]] = []
-    open_: list[tuple[str, str, set[str], int]] = []  # site, line, features, page
+    fixed: list[tuple[tuple[str, ...], bool]] = []
+    open_: list[tuple[str, str, tuple[str, ...], int]] = []  # site, line, features, page
+    words: dict[str, str] = {}
+
+    def shared(text: str) -> tuple[str, ...]:
+        """A text's features, each kept in memory once."""
+        return tuple(words.setdefault(f, f) for f in features(text))
+
     seen: dict[tuple[str, str], set[int]] = {}
     per_page: Counter = Counter()
     roots: Counter = Counter()
@@ -186,33 +193,33 @@ def learn(pages: list[tuple[str, str]]) -> Weights:
             short = len(b.text) < 2 * LONG
             if not within[b.node]:
                 if b.link_share <= 0.6 and short:
-                    fixed.append((features(b.text), True))
+                    fixed.append((shared(b.text), True))
             elif b.marks and short and NOISE.search(b.marks):
-                fixed.append((features(b.text), True))
+                fixed.append((shared(b.text), True))
             elif b.tag in HEADINGS or (len(b.text) >= LONG and b.tag not in ("pre", "table")):
-                fixed.append((features(b.text), False))
+                fixed.append((shared(b.text), False))
             elif b.tag not in SOLID and b.link_share <= 0.6:
                 line = _LETTERS.sub("", b.text.lower())
                 if line:
-                    open_.append((site, line, features(b.text), n))
+                    open_.append((site, line, shared(b.text), n))
                     seen.setdefault((site, line), set()).add(n)
                     per_page[n] += 1
     often = Counter(n for site, line, _, n in open_ if len(seen[site, line]) >= 3)
     copies = {n for n, k in often.items() if k > 0.6 * per_page[n] and k > 4}
-    rest: list[set[str]] = []
-    for site, line, words, n in open_:
+    rest: list[tuple[str, ...]] = []
+    for site, line, found, n in open_:
         if len(seen[site, line] - copies) >= 3 and n not in copies:
-            fixed.append((words, True))
+            fixed.append((found, True))
         else:
-            rest.append(words)
+            rest.append(found)
     sides: list[bool | None] = [None] * len(rest)
     weights: dict[str, float] = {}
     for _ in range(3):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         totals = [1.0, 1.0]
-        for words, side in (*fixed, *zip(rest, sides)):
+        for found, side in (*fixed, *zip(rest, sides)):
             if side is not None:
-                counts[side].update(words)
+                counts[side].update(found)
                 totals[side] += 1
         vocabulary = counts[0] + counts[1]
         weights = {
@@ -220,20 +227,21 @@ def learn(pages: list[tuple[str, str]]) -> Weights:
             for w, n in vocabulary.most_common(MAX_WORDS)
             if n >= 3
         }
-        values = [evidence_of(words, weights) for words in rest]
+        values = [evidence_of(found, weights) for found in rest]
         sides = [True if v > SURE else False if v < -SURE else None for v in values]
     return Weights(weights, dict(roots))
 
 
-def evidence_of(words: set[str], weights: dict[str, float]) -> float:
+def evidence_of(words: tuple[str, ...], weights: dict[str, float]) -> float:
     get = weights.get
     return sum(get(f, 0.0) for f in words)
 
 
 def sample_pages(pages: DataFrame, limit: int = SAMPLE_PAGES) -> list[tuple[str, str]]:
     """(site, body) of at most ``limit`` pages, the same ones at every run."""
-    rows = pages.where("body is not null").select("page_id", F.coalesce(site_of(F.col("final_url")), F.lit("")).alias("site"), "body")
-    return [(r.site, r.body) for r in rows.orderBy(F.xxhash64("page_id"), "page_id").limit(limit).select("site", "body").collect()]
+    own = pages.where("body is not null")
+    rows = own.select("page_id", F.coalesce(site_of(F.col("final_url")), F.lit("")).alias("site"), "body")
+    return [(r.site, r.body) for r in lowest(rows, "page_id", limit, pages.count()).select("site", "body").collect()]
 
 
 def page_labels(pages: DataFrame, weights: Weights) -> DataFrame:

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from skein.llm.blocks import parse
 from skein.llm.main_body import HEADING, MAIN, VERBATIM, WORDED, Weights, label
+from skein.llm.sampling import lowest
 
 SAMPLE_RECORDS = 1500
-TRUSTED_RECORDS = 4000
+TRUSTED_RECORDS = 3000
 CLEAN, PLACEHOLDER, NOTICE = 0, 1, 2
 ROUNDS = 4
 RICH = 4
@@ -171,18 +172,16 @@ def is_case(labels: list[int], classes: list[int]) -> bool:
 
 def sample_records(pages: DataFrame, plain: int = SAMPLE_RECORDS, trusted: int = TRUSTED_RECORDS) -> list[tuple[int, str]]:
     """(status, body) of at most ``plain`` pages and ``trusted`` pages that may hold trusted passages; the same ones at every run."""
-    order = (F.xxhash64("page_id"), F.col("page_id"))
     some = pages.where("body is not null").select("page_id", F.coalesce("status", F.lit(0)).alias("status"), "body")
     body = F.col("body")
     signs = ["${", "#{", "<%", "[[", "{%", "NaN/NaN", "&lt;", "__", " ipsum ", "tbd", "xxx", "asdf", "{0}", "<noscript><p>"]
     may = F.col("status") >= 400
     for sign in signs:
         may = may | body.contains(sign)
-    return [
-        (r.status, r.body)
-        for part, n in ((some, plain), (some.where(may), trusted))
-        for r in part.orderBy(*order).limit(n).select("status", "body").collect()
-    ]
+    rows = pages.count()
+    # About a tenth of the pages may be trusted; were it all, still no more than ten times the bound would be sent.
+    picked = (lowest(some, "page_id", plain, rows), lowest(some.where(may), "page_id", trusted, rows // 10))
+    return [(r.status, r.body) for part in picked for r in part.select("status", "body").collect()]
 
 
 def learn(records: list[tuple[int, str]], weights: Weights) -> Model:
@@ -221,6 +220,8 @@ def learn(records: list[tuple[int, str]], weights: Weights) -> Model:
                 add(words, NOTICE)
             else:
                 open_[tuple(words)] += 1
+    # What clean passages hold once says little and is most of what they hold.
+    counts = (Counter({w: n for w, n in counts[CLEAN].items() if n > 1}), *counts[1:])
     rows = [(grams(list(w)), math.log2(1 + n)) for w, n in open_.items()]
     soft = [(0.0, 0.0)] * len(rows)
     model: Model = {}
