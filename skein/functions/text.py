@@ -193,3 +193,14 @@ def _placed(word: Column):
 def compression(html_bytes: Column, markdown_bytes: Column) -> Column:
     """The share of the page's bytes that extraction removed; 0 without a page."""
     return F.when(html_bytes <= 0, F.lit(0.0)).otherwise(1 - F.least(F.lit(1.0), markdown_bytes / html_bytes))
+
+
+def is_headline(text: Column, controls: tuple[str, ...], counted: tuple[str, ...]) -> Column:
+    """Whether an anchor's text could be a headline: long enough, with a letter, no control, domain or count."""
+    shown = normalize_ws(text)
+    n, low = F.char_length(shown), F.lower(shown)
+    units = "|".join(counted)
+    counts = low.rlike(rf"^[^\p{{L}}\p{{N}}]*[0-9][0-9.,]*[^\p{{L}}\p{{N}}]*( \S+)?( [^\p{{L}}\p{{N}}]*({units})[^\p{{L}}\p{{N}}]*)( \S+)?$") & (F.size(F.split(low, " ")) <= 3)
+    one_word = ~F.contains(shown, F.lit(" "))
+    dull = low.isin(*controls) | (one_word & F.contains(shown, F.lit("."))) | counts
+    return (n >= 8) & (n <= 200) & ((n >= 12) | ~one_word) & shown.rlike(r"\p{L}") & ~dull

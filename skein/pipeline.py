@@ -11,6 +11,7 @@ from skein.functions.url import canonical_url
 from skein.html.extract import ExtractOptions, extract, units_of
 from skein.operators.ranking import rrf_fuse
 from skein.operators.slim import SlimConfig, slim
+from skein.sources.payloads import parse_hits
 
 
 class Research(NamedTuple):
@@ -20,6 +21,22 @@ class Research(NamedTuple):
     failures: DataFrame  # query_id, url, message
 
 
+def search(payloads: DataFrame, max_results: int = 10, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(results, failures): recorded answers of all providers, read and fused per query.
+
+    A provider that failed is a failure row beside the others' hits. ``strict`` raises if every
+    provider of some query failed.
+    """
+    hits, failures = parse_hits(payloads, max(max_results, 10))
+    if strict and not failures.join(hits.select("query_id").distinct(), "query_id", "left_anti").isEmpty():
+        raise ProviderError("every provider failed")
+    return rrf_fuse(hits, max_results), failures
+
+
+class ProviderError(RuntimeError):
+    """No provider could answer."""
+
+
 def page_keys(pages: DataFrame) -> DataFrame:
     """(key, page_id): the pages that an address leads to, by either of a page's URLs; one page per key."""
     both = F.explode(F.array_distinct(F.array(canonical_url(F.col("url")), canonical_url(F.col("final_url")))))

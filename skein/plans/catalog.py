@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein import pipeline
 from skein.functions import scoring
 from skein.functions import text as T
 from skein.functions import url as U
 from skein.html.extract import extract, links_of, units_of
+from skein.html.listing import CONTROLS, COUNTED
 from skein.html.tree import repair
 from skein.operators import chunking, quality, ranking
 from skein.operators.slim import slim
@@ -30,7 +32,7 @@ def query(f: Query) -> Query:
 
 
 def _units(spark: SparkSession, d: str, *columns: Column | str) -> DataFrame:
-    return table(spark, d, "units").select("source_id", "unit_idx", *columns)
+    return spread(table(spark, d, "units")).select("source_id", "unit_idx", *columns)
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +100,17 @@ def strip_site_suffix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select("source_id", T.strip_site_suffix(F.concat_ws(" | ", "title", "site_name"), F.col("site_name")).alias("head"))
 
 
+@query
+def scholarly_snippet(spark: SparkSession, d: str) -> DataFrame:
+    told = T.scholarly_snippet(F.array("byline"), F.col("published"), F.col("description"))
+    return table(spark, d, "articles").select("source_id", told.alias("snippet"))
+
+
+@query
+def headline_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "searchresults").select("hit_id", T.is_headline(F.coalesce("title", F.lit("")), tuple(sorted(CONTROLS)), tuple(sorted(COUNTED))).alias("headline"))
+
+
 @query
 def density(spark: SparkSession, d: str) -> DataFrame:
     got = _units(spark, d, scoring.density(F.col("text")).alias("d"))
@@ -202,7 +215,7 @@ def slim_select(spark: SparkSession, d: str) -> DataFrame:
 @query
 def slim_context(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: recorded hits and raw pages to cited contexts."""
-    got = research(table(spark, d, "queries"), _hits(spark, d), table(spark, d, "pages"))
+    got = research(table(spark, d, "queries"), _hits(spark, d), spread(table(spark, d, "pages")))
     return got.contexts.select("query_id", "markdown", "tokens", "units_considered", F.size("sources").alias("n_sources"), F.size("selected").alias("n_selected"))
 
 
@@ -322,6 +335,11 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("query_id", name.alias("provider"), "provider_pos", body.alias("body"), F.lit(None).cast("string").alias("arg"))
 
 
+@query
+def search(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.search(_payloads(spark, d))[0].select("query_id", "key", "position")
+
+
 @query
 def parse_hits(spark: SparkSession, d: str) -> DataFrame:
     return payloads.parse_hits(_payloads(spark, d))[0].select("query_id", "provider_pos", "rank", "provider", "title", "url")

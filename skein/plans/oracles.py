@@ -123,6 +123,13 @@ g AS (
 ), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, arrival, key) - 1 AS position FROM g)
 SELECT query_id, key, url, title, snippet, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), ',') AS providers, round(score, 9) AS score, best_rank, CAST(position AS INTEGER) AS position
 FROM o WHERE position < 10
+""",
+    "scholarly_snippet": f"""
+WITH a AS (
+  SELECT source_id, coalesce(byline, '') || CASE WHEN y <> '' THEN ' (' || y || ')' ELSE '' END AS head, coalesce(description, '') AS body
+  FROM (SELECT *, regexp_extract(coalesce(published, ''), '^([0-9]+)', 1) AS y FROM articles)
+)
+SELECT source_id, {_normal("head || CASE WHEN head <> '' AND body <> '' THEN '. ' ELSE '' END || body")} AS snippet FROM a
 """,
     "slim_candidates": """
 SELECT source_id, count(*) AS units_considered FROM units

@@ -52,6 +52,25 @@ def test_providers(spark):
     assert sorted(r.provider for r in failures.collect()) == ["duckduckgo", "github", "martian", "stackexchange"]
 
 
+def test_search_is_partial_and_strict(spark):
+    from skein.pipeline import ProviderError, search
+
+    good, bad = ("searx", json.dumps({"results": [{"title": "S", "url": "http://x.example", "content": "c"}]}), None), ("gh", "{broken", None)
+    results, failures = search(payloads(spark, [good, bad]), strict=True)
+    assert (results.count(), failures.count()) == (1, 1)
+    with pytest.raises(ProviderError):
+        search(payloads(spark, [bad]), strict=True)
+
+
+def test_headlines_in_columns_as_in_python(spark):
+    from skein.functions.text import is_headline
+    from skein.html import listing
+
+    texts = ["13 hours ago", "10 years of rust in production", "example.com", "Subscribe", "GPT-6 Astra", "Short", "더보기", "1501 comments", "Elections", "Longer-single-word", "...--- ---...", "x" * 201]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(is_headline(F.col("t"), tuple(listing.CONTROLS), tuple(listing.COUNTED)).alias("x"))
+    assert [r.x for r in got.collect()] == [listing.is_headline(t) for t in texts]
+
+
 def test_feeds_and_sitemaps():
     atom = '<a:feed xmlns:a="x"><a:entry><a:title><![CDATA[T & <i>t</i>]]></a:title><a:link rel="self" href="http://no"/><a:link href="http://yes"/><a:updated>2020</a:updated></a:entry></a:feed>'
     assert D.feed_items(atom) == [{"title": "T & t", "link": "http://yes", "summary": "", "published": "2020"}]
