@@ -319,6 +319,23 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, seed):
     assert none[1].count() == 0 and near_duplicates.groups(*none).count() == 0
 
 
+@pytest.mark.parametrize("size", [700, 2000, 6000])
+def test_evenly_spaced_edits(spark, size):
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bodies = []
+    for step in range(44, 80, 4):
+        body = [rng.choice(letters) for _ in range(size)]
+        bodies.append("".join(body))
+        for i in range(step // 2, size - 4, step):
+            body[i : i + 4] = rng.choices(letters.upper(), k=4)
+        bodies.append("".join(body))
+    expected = {(i, j) for i in range(len(bodies)) for j in range(i + 1, len(bodies)) if similar(bodies[i], bodies[j]) >= 0.5}
+    assert any(0.5 <= similar(bodies[i], bodies[j]) < 0.65 for i, j in expected)
+    _, links = near_duplicates.near_duplicates(frame(spark, list(enumerate(bodies)), "id long, body string"))
+    assert {(r.a, r.b) for r in links.collect()} == expected
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
