@@ -336,6 +336,16 @@ def test_evenly_spaced_edits(spark, size):
     assert {(r.a, r.b) for r in links.collect()} == expected
 
 
+def test_repetitive_texts(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    article = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=900))
+    bodies = [passage * 200, passage * 199 + passage[:15] + "0" * 30 + passage[45:], article, article * 4]
+    assert min(similar(*bodies[:2]), similar(*bodies[2:])) > 0.5
+    _, links = near_duplicates.near_duplicates(frame(spark, list(enumerate(bodies)), "id long, body string"))
+    assert {(r.a, r.b) for r in links.collect()} == {(0, 1), (2, 3)}
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
