@@ -119,7 +119,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return sentences.sentences(documents, sentences.learn(sentences.sample_texts(documents)))
+    return sentences.sentences(documents, sentences.learn_all(documents))
 
 
 QUERIES: dict[str, Query] = {

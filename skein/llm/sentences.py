@@ -7,8 +7,9 @@ the continuation of a sentence; unseen words back off to classes of shape. Line
 events and words without marks between them certain non-events; expectation-maximization counts the
 rest. Events too close to be independent are decided together by forward-backward.
 
-The model is fitted on at most SAMPLE_DOCUMENTS documents (lowest hash first); it is applied to every
-document as a whole, in one pass.
+The model's counts are those of all distinct lines of all documents, summed where they lie; what is sent
+to the driver are the counts of contexts and words that are met often enough to be kept, and sums by
+class of the rest. It is applied to every document as a whole, in one pass.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.sampling import lowest
+from skein.durable import cut
 
-SAMPLE_DOCUMENTS = 4000
 ROUNDS = 5
+#: Times that a context and a word must be met to have odds of their own.
+LEAST_LEFT, LEAST_RIGHT = 4, 5
+#: Distinct counts that a task holds before it passes them on.
+HELD_COUNTS = 200_000
 #: Log-odds of a sentence of one word between two candidates.
 ONE_WORD = -3.0
 
@@ -260,13 +264,15 @@ def spans(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def learn(texts: list[str]) -> Model:
-    """Expectation-maximization from texts; line ends and starts are certain events."""
-    ends: Counter = Counter()  # certain events by context, and by class
-    starts: Counter = Counter()
-    inner: Counter = Counter()  # words inside sentences
-    open_: Counter = Counter()
-    for line in {s for t in texts for s in t.splitlines() if s.strip()}:
+END, OPEN, START, INNER = range(4)  # kinds of counts
+_RARE = "\x01"  # before the class of a word that is met too seldom
+Key = tuple[int, str, str, str, str]  # kind, context and its class, next word and its class
+
+
+def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
+    """Add what distinct lines hold: certain events by context, open events, starts, and words inside sentences."""
+    inner: Counter[str] = Counter()
+    for line in lines:
         body = line.rstrip()
         m = _MARKER.match(body)
         begin = m.end() if m else len(body) - len(body.lstrip())
@@ -276,19 +282,102 @@ def learn(texts: list[str]) -> Model:
             if c.sure:
                 continue
             if c.end >= len(body):
-                ends[c.left] += 1
+                counts[END, *c.left, "", ""] += 1
                 marked = True
             else:
-                open_[c.left, c.right] += 1
+                counts[OPEN, *c.left, *c.right] += 1
         if marked:  # headings and other lines without an end mark start like no sentence
-            starts[_right(body, begin)] += 1
+            counts[START, "", "", *_right(body, begin)] += 1
         marks = {c.end for c in found}
-        words = list(_WORD.finditer(body, begin))
-        for a, b in zip(words, words[1:]):
-            if not marks & {a.end(), a.end() - 1, b.start()} and b[0][0].isalnum():
-                inner[_right(body, b.start())] += 1
-    rows = [(left, right, n) for (left, right), n in open_.items()]
-    model = Model(_after(ends, rows), {})
+        before = -1
+        for word in _WORD.finditer(body, begin):
+            w, at = word[0], word.start()
+            if before >= 0 and w[0].isalnum() and not (before in marks or before - 1 in marks or at in marks):
+                inner[w] += 1
+            before = word.end()
+    for w, n in inner.items():
+        counts[INNER, "", "", *_right(w, 0)] += n
+
+
+def learn(texts: list[str]) -> Model:
+    """Expectation-maximization from texts; line ends and starts are certain events."""
+    counts: Counter[Key] = Counter()
+    count_lines({s for t in texts for s in t.splitlines() if s.strip()}, counts)
+    lefts: dict[str, list] = {}
+    for (kind, word, s, _, next_), n in counts.items():
+        if kind in (END, OPEN):
+            own = lefts.setdefault(word, [s, 0, 0])
+            if kind == END:
+                own[1] += n
+            elif word[0] not in "!?" or next_[:2] != "<l":  # behind these a lower-case word goes on
+                own[2] += n
+    classes: dict[str, list[float]] = {}
+    for s, e, i in lefts.values():
+        scale = min(1.0, (LEAST_LEFT - 1) / max(e + i, 1))
+        sums = classes.setdefault(s, [0.0, 0.0, 0, 0])
+        for k, v in enumerate((e * scale, i * scale, e, i if e else 0)):
+            sums[k] += v
+    return _fit(counts, _after([(w, *x) for w, x in lefts.items()], classes))
+
+
+def learn_all(documents: DataFrame) -> Model:
+    """What ``learn`` gives for the texts of all rows, with the counts made by tasks; null texts give none."""
+    text = pa.schema([("line", pa.string())])
+    kind = pa.schema([("kind", pa.int32()), *((k, pa.string()) for k in ("l", "ls", "r", "rs")), ("n", pa.int64())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = {s for t in batch.column(0).to_pylist() for s in t.splitlines() if s.strip()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.string())], schema=text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[Key] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*((*k, n) for k, n in counts.items()))) or [()] * 6
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+        for batch in batches:
+            count_lines(batch.column(0).to_pylist(), counts)
+            if len(counts) > HELD_COUNTS:
+                yield flush()
+        yield flush()
+
+    lines = documents.where("text is not null").select("text").mapInArrow(split, "line string").distinct()
+    counts = lines.mapInArrow(run, "kind int, l string, ls string, r string, rs string, n long")
+    counts = cut(counts.groupBy("kind", "l", "ls", "r", "rs").agg(F.sum("n").alias("n")))
+    of_end, of_open = F.col("kind") == END, F.col("kind") == OPEN
+    goes_on = F.substring("l", 1, 1).isin("!", "?") & F.col("rs").startswith("<l")
+    lefts = counts.where(of_end | of_open).groupBy("l", "ls").agg(
+        F.sum(F.when(of_end, F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(of_open & ~goes_on, F.col("n")).otherwise(0)).alias("i")
+    )
+    lefts = cut(lefts)
+    scale = F.least(F.lit(1.0), (LEAST_LEFT - 1) / F.greatest(F.col("e") + F.col("i"), F.lit(1)))
+    sums = lefts.groupBy("ls").agg(F.sum(F.col("e") * scale), F.sum(F.col("i") * scale), F.sum("e"), F.sum(F.when(F.col("e") > 0, F.col("i")).otherwise(0)))
+    often = lefts.where((F.col("e") + F.col("i") >= LEAST_LEFT) | (F.col("l") == F.col("ls")))
+    left = _after([tuple(r) for r in often.select("l", "ls", "e", "i").collect()], {r[0]: list(r)[1:] for r in sums.collect()})
+    rights = counts.where(~of_end).groupBy("r").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_RIGHT).select("r", F.lit(True).alias("known"))
+    known = counts.join(often.select("l", F.lit(True).alias("kept")), "l", "left").join(rights, "r", "left")
+    known = known.select(
+        "kind",
+        F.when(F.col("kept"), F.col("l")).otherwise(F.col("ls")).alias("l"),
+        "ls",
+        F.when(F.col("known") | (F.col("r") == F.col("rs")), F.col("r")).otherwise(F.concat(F.lit(_RARE), "rs")).alias("r"),
+        "rs",
+        "n",
+    )
+    rows = known.where(~of_end).groupBy("kind", "l", "ls", "r", "rs").agg(F.sum("n").alias("n")).orderBy("kind", "l", "ls", "r", "rs").toArrow()
+    columns = [rows.column(i).to_pylist() for i in range(6)]
+    return _fit(dict(zip(zip(*columns[:5]), columns[5])), left)
+
+
+def _fit(counts: dict[Key, int], left: dict[str, float]) -> Model:
+    """The rounds of expectation-maximization, given the log-odds after each context."""
+    starts = {(r, s): n for (kind, _, _, r, s), n in counts.items() if kind == START}
+    inner = {(r, s): n for (kind, _, _, r, s), n in counts.items() if kind == INNER}
+    rows = [((w, s), (r, t), n) for (kind, w, s, r, t), n in counts.items() if kind == OPEN]
+    model = Model(left, {})
     probability = [_sigmoid(_odds_of(left, right, model)) if right[1][:2] != "<l" else 0.05 for left, right, _ in rows]
     for _ in range(ROUNDS):
         first, later = Counter(), Counter()
@@ -307,7 +396,7 @@ def learn(texts: list[str]) -> Model:
         ratio = {
             w: max(-8.0, min(4.0, math.log((first[w] + 0.3) / begun) - math.log((later[w] + 0.3) / going)))
             for w in first.keys() | later.keys()
-            if first[w] + later[w] >= 5
+            if first[w] + later[w] >= LEAST_RIGHT and w[:1] != _RARE
         }
         model = Model(model.left, ratio)
         probability = [_sigmoid(_odds_of(left, right, model)) for left, right, _ in rows]
@@ -318,51 +407,35 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-def _after(ends: Counter, rows: list[tuple[tuple[str, str], tuple[str, str], int]]) -> dict[str, float]:
+def _after(lefts: list[tuple[str, str, int, int]], classes: dict[str, list[float]]) -> dict[str, float]:
     """Log-odds of the event after each context inside a line.
 
     A fixed share of all sentence ends are line ends. So a context's line ends tell how many of its
     occurrences inside lines are sentence ends too: none of an abbreviation's, nearly all of a common
-    word's. Contexts met fewer than four times back off to the rate of the rare contexts of their class.
+    word's. Contexts met fewer than LEAST_LEFT times back off to the rate of the rare contexts of their class.
+
+    ``lefts`` has (context, class, line ends, occurrences inside); contexts met fewer times may be missing.
+    ``classes`` has sums over all contexts of a class: of both, each context scaled to rare, of its line ends,
+    and of its occurrences inside if it has line ends.
     """
-    at_end, inside, shape = Counter(), Counter(), {}
-    for (word, s), n in ends.items():
-        at_end[word] += n
-        shape[word] = s
-    for (word, s), right, n in rows:
-        if word[0] not in "!?" or right[1][:2] != "<l":  # behind these a lower-case word goes on
-            inside[word] += n
-        shape[word] = s
-    plain = [w for w, s in shape.items() if s.startswith("<l4>")]
-    clear = sum(inside[w] for w in plain if at_end[w]) or 1
-    share = min(0.9, max(0.02, sum(at_end[w] for w in plain) / (clear + sum(at_end[w] for w in plain) or 1)))
+    plain = [x for s, x in classes.items() if s.startswith("<l4>")]
+    clear = sum(x[3] for x in plain) or 1
+    share = min(0.9, max(0.02, sum(x[2] for x in plain) / (clear + sum(x[2] for x in plain) or 1)))
     factor = (1 - share) / share
 
     def odds(e: float, n: float, weight: float) -> float:
         p = min(0.995, max(0.002, (e * factor + 0.5 * weight) / (n + weight)))
         return math.log(p / (1 - p))
 
-    rare_end, rare_inside = Counter(), Counter()
-    for w, s in shape.items():
-        total = at_end[w] + inside[w]
-        scale = min(1.0, 3 / max(total, 1))
-        rare_end[s] += at_end[w] * scale
-        rare_inside[s] += inside[w] * scale
-    out = {s: odds(rare_end[s], rare_inside[s], 1.0) for s in set(shape.values())}
-    for w, s in shape.items():
-        if w != s and at_end[w] + inside[w] >= 4:
-            out[w] = odds(at_end[w], inside[w], 0.2)
+    out = {s: odds(x[0], x[1], 1.0) for s, x in classes.items()}
+    for w, s, e, i in lefts:
+        if w != s and e + i >= LEAST_LEFT:
+            out[w] = odds(e, i, 0.2)
         elif w == s:
-            out[w] = odds(at_end[w], inside[w], 0.5)
+            out[w] = odds(e, i, 0.5)
     return out
 
 
-def sample_texts(documents: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> list[str]:
-    """Texts of at most ``limit`` documents, the same ones at every run."""
-    own = documents.where("text is not null").select("doc_id", "text")
-    return [r.text for r in lowest(own, "doc_id", limit, documents.count()).select("text").collect()]
-
-
 def sentences(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, start_char, end_char) of every sentence of every row; null and blank texts give none.
 

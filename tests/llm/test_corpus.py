@@ -447,6 +447,26 @@ def test_sentence_rows(spark, boundaries):
     assert sentences.sentences(frame(spark, rows, "doc_id long, text string, x string").limit(0), sentences.learn([])).count() == 0
 
 
+def test_counts_of_all_documents(spark):
+    rng = random.Random(4)
+    words = "river stone window garden letter morning people water house market".split()
+
+    def sentence():
+        return " ".join(rng.choices(words, k=6)).capitalize() + "."
+
+    rows = [(i, f"{sentence()} {sentence()}", 0) for i in range(4300)]
+    for k, i in enumerate(rng.sample(range(4300), 60)):
+        rows[i] = (i, f"{sentence()} We met Qzx. Harbor{k} there. {sentence()}\n", 0)
+    rows += [(5000, None, 0), (5001, " \n\n", 0)]
+    whole = sentences.learn([t for _, t, _ in rows if t])
+    got = sentences.learn_all(frame(spark, rows, "doc_id long, text string, n int"))
+    assert got.left["Qzx."] == sentences._after([("Qzx.", "<U3>.", 0, 60)], {"<l4>.": [0, 0, 1, 1]})["Qzx."]
+    for mine, theirs in ((got.left, whole.left), (got.right, whole.right)):
+        for w in {*mine, *theirs}:
+            assert mine.get(w, 0.0) == pytest.approx(theirs.get(w, 0.0), abs=1e-6), w
+    assert sentences.learn_all(frame(spark, [], "doc_id long, text string, n int")).right == {}
+
+
 def test_queries_are_named(spark):
     from skein.llm.oracles import ORACLES
     from skein.llm.queries import QUERIES
