@@ -343,12 +343,20 @@ def block_languages(units: DataFrame, crf: Crf, least_chars: int = 0, segments:
     return own.mapInArrow(run, schema)
 
 
-def article_languages(blocks: DataFrame) -> DataFrame:
-    """(source_id, lang, confidence) from ``block_languages``: the language of most of the words' probability."""
-    each = blocks.where("lang is not null").select("source_id", F.posexplode("weights").alias("i", "p")).groupBy("source_id", "i").agg(F.sum("p").alias("p"))
+def article_languages(blocks: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """(source_id, lang, confidence) from ``block_languages``: the language of most of the words' probability.
+
+    Every article of ``blocks`` and, if given, of ``articles`` (source_id) has a row; one without words has
+    lang null and confidence 0.
+    """
+    each = blocks.where("source_id is not null").select("source_id", F.posexplode("weights").alias("i", "p")).groupBy("source_id", "i").agg(F.sum("p").alias("p"))
     names = F.array(*(F.lit(x) for x in LANGS))
     found = each.groupBy("source_id").agg(F.max_by("i", F.struct("p", -F.col("i"))).alias("i"), F.max("p").alias("p"), F.sum("p").alias("all"))
-    return found.select("source_id", F.get(names, F.col("i")).alias("lang"), (F.col("p") / F.col("all")).alias("confidence"))
+    if articles is not None:
+        every = articles.select(F.col("source_id").cast("long").alias("source_id")).where("source_id is not null").distinct()
+        found = found.join(every, "source_id", "full")
+    some = F.col("all") > 0
+    return found.select("source_id", F.when(some, F.get(names, F.col("i"))).alias("lang"), F.when(some, F.col("p") / F.col("all")).otherwise(0.0).alias("confidence"))
 
 
 def foreign_units(units: DataFrame, articles: DataFrame, crf: Crf, residue: DataFrame | None = None, least_chars: int = 40) -> DataFrame:

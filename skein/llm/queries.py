@@ -41,7 +41,7 @@ def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_articles(spark: SparkSession, d: str) -> DataFrame:
-    return languages.article_languages(languages.block_languages(table(spark, d, "units"), _tagger(spark, d)))
+    return languages.article_languages(languages.block_languages(table(spark, d, "units"), _tagger(spark, d)), table(spark, d, "articles"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def _slices(spark: SparkSession, d: str) -> DataFrame:
     blocks = languages.block_languages(table(spark, d, "units"), _tagger(spark, d))
-    return token_budget.slices(table(spark, d, "pages"), languages.article_languages(blocks))
+    return token_budget.slices(table(spark, d, "pages"), languages.article_languages(blocks, table(spark, d, "articles")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -174,7 +174,7 @@ def merge_totals(units: DataFrame, slice_of: DataFrame, merges: Merges) -> DataF
 
 
 def estimate_totals(units: DataFrame, slice_of: DataFrame) -> DataFrame:
-    """(site, domain, lang, articles, tokens): totals of the project's own count, each unit and article once."""
+    """(site, domain, lang, articles, tokens): totals of the project's own count, each unit and article of ``slice_of`` once."""
     own = units.select("source_id", "unit_idx", F.coalesce(count_tokens(F.col("markdown")), F.lit(0)).alias("n")).dropDuplicates(["source_id", "unit_idx"])
-    per = own.groupBy("source_id").agg(F.sum("n").alias("n")).join(slice_of, "source_id")
-    return per.groupBy("site", "domain", "lang").agg(F.count("*").alias("articles"), F.sum("n").alias("tokens"))
+    per = slice_of.join(own.groupBy("source_id").agg(F.sum("n").alias("n")), "source_id", "left")
+    return per.groupBy("site", "domain", "lang").agg(F.count("*").alias("articles"), F.sum(F.coalesce("n", F.lit(0))).alias("tokens"))

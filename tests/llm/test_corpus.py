@@ -271,6 +271,20 @@ def test_totals(spark):
     assert {tuple(r) for r in token_budget.miscounted(units).collect()} == {(1, 0), (1, 1)}
 
 
+def test_articles_without_words_count(spark, crf):
+    units = frame(spark, [(1, 0, SAMPLES["en"]), (2, 0, "12 34"), (2, 1, "QUJD" * 40), (3, 0, None)], "source_id long, unit_idx int, text string").withColumn("markdown", F.col("text"))
+    stated = frame(spark, [(i,) for i in (1, 2, 3, 4, 4)], "source_id long")
+    langs = languages.article_languages(languages.block_languages(units, crf), stated)
+    got = {r.source_id: (r.lang, r.confidence > 0) for r in langs.collect()}
+    assert got == {1: ("en", True), 2: (None, False), 3: (None, False), 4: (None, False)} and langs.count() == 4
+    pages = frame(spark, [(1, "https://a.example/x"), (2, "https://a.example/y")], "page_id long, final_url string")
+    slices = token_budget.slices(pages, langs)
+    estimates = {(r.site, r.lang): (r.articles, r.tokens) for r in token_budget.estimate_totals(units, slices).collect()}
+    assert estimates == {("a.example", "en"): (1, estimate(SAMPLES["en"])), ("a.example", ""): (1, estimate("12 34") + estimate("QUJD" * 40)), ("", ""): (2, 0)}
+    totals = {(r.site, r.lang): r.tokens for r in token_budget.merge_totals(units, slices, token_budget.load_merges()).collect()}
+    assert set(totals) == {("a.example", "en"), ("a.example", "")}
+
+
 # 7 ------------------------------------------------------------------------------------------------
 
 
