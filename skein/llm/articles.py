@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import main_body, residue
 from skein.llm.blocks import squeeze
-from skein.llm.main_body import MAIN, VERBATIM, Weights, fingerprint, match, page_labels, settle
+from skein.llm.main_body import MAIN, TABLE, VERBATIM, Weights, fingerprint, match, page_labels, settle
 
 
 class Models(NamedTuple):
@@ -66,9 +66,9 @@ def judged(pages: DataFrame, articles: DataFrame, models: Models, with_body: boo
                 units, final, case, classes = judge(text, bool(index), keys, labels, models)
                 ids.append(source)
                 cases.append(case)
-                inside = [i for i, x in enumerate(final) if x in (MAIN, VERBATIM)]
+                inside = [i for i, x in enumerate(final) if x in (MAIN, VERBATIM, TABLE)]
                 mains.append(inside)
-                others.append([i for i, x in enumerate(final) if x not in (MAIN, VERBATIM)])
+                others.append([i for i, x in enumerate(final) if x not in (MAIN, VERBATIM, TABLE)])
                 residues.append([i for i, c in enumerate(classes) if c and models.judge.pure(units[i])] if case else [])
                 bodies.append(drop.sub("", "".join(units[i] for i in inside).lower()) if with_body and not case else None)
             yield pa.RecordBatch.from_arrays(

@@ -31,9 +31,9 @@ from skein.llm.words import features
 SAMPLE_PAGES = 2500
 MAX_WORDS = 60_000
 LONG, SURE = 90, 2.0
-#: Labels: main body; furniture; furniture only by its words; code or table of the main body; a link in
-#: the main container, which is main body on index pages and furniture on others; heading of the main body.
-MAIN, FURNITURE, WORDED, VERBATIM, LINK, HEADING = 0, 1, 2, 3, 4, 5
+#: Labels: main body; furniture; furniture only by its words; code of the main body; a link in the main
+#: container, which is main body on index pages and furniture on others; heading and table of the main body.
+MAIN, FURNITURE, WORDED, VERBATIM, LINK, HEADING, TABLE = 0, 1, 2, 3, 4, 5, 6
 _LETTERS = re.compile(r"[\W\d_]+")
 
 # Class and id words of page furniture, and tags that are furniture by definition.
@@ -118,7 +118,7 @@ def label(page: Page, weights: Weights) -> list[int]:
         elif b.marks and len(b.text) < 2 * LONG and (NOISE.search(b.marks) or evidence(b.text, weights) > SURE):
             out.append(FURNITURE)
         elif b.tag in SOLID:
-            out.append(VERBATIM if b.tag in ("pre", "table") else HEADING if b.tag in HEADINGS else MAIN)
+            out.append(VERBATIM if b.tag == "pre" else TABLE if b.tag == "table" else HEADING if b.tag in HEADINGS else MAIN)
         elif b.link_share > 0.6:
             out.append(LINK)
         elif len(b.text) >= 2 * LONG:
@@ -127,7 +127,7 @@ def label(page: Page, weights: Weights) -> list[int]:
             words = evidence(b.text, weights)
             out.append(WORDED if words > SURE else MAIN if words < -SURE or (len(b.text) >= LONG and words <= 0) else None)
     if None in out:
-        decided = [i for i, x in enumerate(out) if x is not None and within[page.blocks[i].node] and x != VERBATIM]
+        decided = [i for i, x in enumerate(out) if x is not None and within[page.blocks[i].node] and x not in (VERBATIM, TABLE)]
         near = nearest(decided, len(out))
         for i, x in enumerate(out):
             if x is None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.blocks import parse
-from skein.llm.main_body import HEADING, MAIN, VERBATIM, WORDED, Weights, label
+from skein.llm.main_body import HEADING, MAIN, TABLE, VERBATIM, WORDED, Weights, label
 from skein.llm.sampling import lowest
 
 SAMPLE_RECORDS = 1500
@@ -71,9 +71,12 @@ def grams(words: list[str]) -> set[str]:
     return {*words, *map(" ".join, zip(words, words[1:]))}
 
 
-def is_trusted(passage: str, words: list[str]) -> bool:
-    """Whether a passage is residue beyond doubt: template syntax, repeated dummy words or mostly filler words."""
-    if SYNTAX.search(passage) or _REPEATED.search(passage):
+def is_trusted(passage: str, words: list[str], table: bool = False) -> bool:
+    """Whether a passage is residue beyond doubt: template syntax, repeated dummy words or mostly filler words.
+
+    In a table, cells may well repeat.
+    """
+    if SYNTAX.search(passage) or (not table and _REPEATED.search(passage)):
         return True
     plain = [w for w in words if w.isalpha()]
     strong = sum(w in _STRONG_FILLER for w in plain)
@@ -108,7 +111,7 @@ class Judge:
         self.hold = {w for w, (p, _) in model.items() if p > 1.5 and w}
         self.note = {w for w, (_, e) in model.items() if e > 1.5 and w}
 
-    def unit(self, text: str, shift: float) -> int:
+    def unit(self, text: str, shift: float, table: bool = False) -> int:
         """The class of a unit: of its most residual passage.
 
         In a record with little text notices are far likelier than in the corpus; ``shift`` adds that,
@@ -117,7 +120,7 @@ class Judge:
         best = CLEAN
         for passage in passages(text):
             words = tokens(passage)
-            if _may_be_trusted(passage, words) and is_trusted(passage, words) and not _mentions(passage):
+            if _may_be_trusted(passage, words) and is_trusted(passage, words, table) and not _mentions(passage):
                 return PLACEHOLDER
             distinct = set(words)
             if len(distinct & self.hold) < 2 and not (shift and (shift > POOR_SHIFT or distinct & self.note)):
@@ -140,14 +143,35 @@ class Judge:
                 return False
         return True
 
+    def notice_share(self, texts: list[str], labels: list[int]) -> float:
+        """The share of a record's passages that could be notices in a record of nothing else.
+
+        0 where a unit holds none, as no notice makes a case beside a clean unit.
+        """
+        could, every = 0, 0
+        for text, x in zip(texts, labels):
+            if x in (VERBATIM, TABLE):
+                return 0.0
+            if x != MAIN:
+                continue
+            found = passages(text)
+            here = 0
+            for passage in found:
+                p, e = score(passage, self.model)
+                here += e + POOR_SHIFT > 0 and e > p
+            if not here:
+                return 0.0
+            could, every = could + here, every + len(found)
+        return could / every if every else 0.0
+
     def record(self, texts: list[str], labels: list[int], headed: bool = True) -> tuple[bool, list[int]]:
         """Whether a record is residue, and its units' classes; ``headed``: whether its main body has a heading."""
-        own = [t for t, x in zip(texts, labels) if x in (MAIN, WORDED, VERBATIM)]
+        own = [t for t, x in zip(texts, labels) if x in (MAIN, WORDED, VERBATIM, TABLE)]
         size = sum(map(len, own))
-        shift = POOR_SHIFT if len(own) <= 6 and size < 500 else 0.0
+        shift = POOR_SHIFT if len(own) <= 6 and size < 500 else POOR_SHIFT * self.notice_share(texts, labels)
         if len(own) <= 3 and size < 250 and not headed:
             shift = BARE_SHIFT
-        classes = [self.unit(t, shift) if x in (MAIN, WORDED) else CLEAN for t, x in zip(texts, labels)]
+        classes = [self.unit(t, 0.0 if x == TABLE else shift, x == TABLE) if x in (MAIN, WORDED, TABLE) else CLEAN for t, x in zip(texts, labels)]
         return is_case(labels, classes), classes
 
 
@@ -163,10 +187,10 @@ def _mentions(passage: str) -> bool:
 
 def is_case(labels: list[int], classes: list[int]) -> bool:
     """Whether a record is residue, from its units' labels and classes (furniture's are ignored)."""
-    if any(c == PLACEHOLDER and x in (MAIN, WORDED) for x, c in zip(labels, classes)):
+    if any(c == PLACEHOLDER and x in (MAIN, WORDED, TABLE) for x, c in zip(labels, classes)):
         return True
     notices = any(c == NOTICE and x in (MAIN, WORDED) for x, c in zip(labels, classes))
-    clean = any(x == VERBATIM or (x == MAIN and c == CLEAN) for x, c in zip(labels, classes))
+    clean = any(x in (VERBATIM, TABLE) or (x == MAIN and c == CLEAN) for x, c in zip(labels, classes))
     return notices and not clean
 
 

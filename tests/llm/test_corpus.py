@@ -188,6 +188,19 @@ def test_nearest():
     assert main_body.nearest([1, 4], 6) == [1, 1, 1, 4, 4, 4] and main_body.nearest([], 2) == [-1, -1]
 
 
+def test_long_notices_and_tables():
+    judge = residue.Judge({"": (-6.0, -4.0), "failed": (0.0, 4.0), "reload": (0.0, 4.0), "river": (-2.0, -3.0)})
+    notice = [f"The request number {i} failed, so please reload the page or ask for help at the desk, where somebody knows more." for i in range(9)]
+    content = "The river runs past the old town, where a stone house stands near the water, and nobody has lived there for a long time."
+    assert sum(map(len, notice)) > 500 and judge.record(notice, [main_body.MAIN] * 9)[0]
+    assert not judge.record([*notice, content], [main_body.MAIN] * 10)[0]
+    assert not judge.record([content] * 9, [main_body.MAIN] * 9)[0]
+    table = "Name Size\nhouse {{size_of_house}}\nyes yes yes"
+    assert judge.record([content, table], [main_body.MAIN, main_body.TABLE])[0]
+    assert not judge.record([content, table], [main_body.MAIN, main_body.VERBATIM])[0]
+    assert not judge.record([content, "Name Size\nyes yes yes"], [main_body.MAIN, main_body.TABLE])[0]
+
+
 def test_trusted():
     sure = ["{{ a.b }}", "Hello ${user}", "%NAME% by %AUTHOR%", "tbd tbd tbd", "Lorem ipsum dolor amet elit", "xxx xxxx xx xxxxx", "in {0} there"]
     assert all(residue.is_trusted(s, residue.tokens(s)) for s in sure)
