@@ -182,10 +182,11 @@ def unit_base_score(spark: SparkSession, d: str) -> DataFrame:
 @query
 def hybrid_relevance(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    many = max(1, vectors.count())
     units = _per_query(spark, d)
-    place = F.pmod(F.xxhash64("source_id", "unit_idx"), F.lit(500)).alias("vec_id")
+    place = F.pmod(F.xxhash64("source_id", "unit_idx"), F.lit(many)).alias("vec_id")
     with_vectors = units.select("source_id", "unit_idx").distinct().withColumn("vec_id", place).join(vectors, "vec_id")
-    asked = table(spark, d, "queries").select("query_id", F.pmod("query_id", F.lit(500)).alias("vec_id")).join(vectors, "vec_id")
+    asked = table(spark, d, "queries").select("query_id", F.pmod("query_id", F.lit(many)).alias("vec_id")).join(vectors, "vec_id")
     got = ranking.score_units(units, table(spark, d, "queries"), 0.5, with_vectors, asked)
     return got.select("query_id", "source_id", "unit_idx", F.round("relevance", 6).alias("relevance"))
 

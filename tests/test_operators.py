@@ -133,3 +133,20 @@ def test_cosine_and_quality(spark):
     contexts = spark.createDataFrame(pd.DataFrame({"query_id": [1], "markdown": ["has 42"]}))
     answers = spark.createDataFrame([(1, "42"), (1, "43"), (2, "x")], "query_id long, pattern string")
     assert {r.query_id: r.found for r in quality.answer_presence(contexts, answers).collect()} == {1: 0.5, 2: 0.0}
+
+
+def test_vectors_beyond_the_first_are_used(spark, monkeypatch):
+    from skein.plans import catalog
+
+    tables = {
+        "embeddings": spark.range(1200).selectExpr("id AS vec_id", "array(1.0D, 0.5D) AS embedding"),
+        "queries": spark.range(1200).selectExpr("id AS query_id", "'q' AS q"),
+    }
+    units = spark.range(9000).selectExpr("0L AS query_id", "id AS source_id", "0 AS unit_idx")
+    given = []
+    monkeypatch.setattr(catalog, "table", lambda _, d, name: tables[name])
+    monkeypatch.setattr(catalog, "_per_query", lambda *_: units)
+    monkeypatch.setattr(catalog.ranking, "score_units", lambda u, q, w, v, a: given.extend((v, a)) or u.selectExpr("*", "0.0D AS relevance"))
+    catalog.QUERIES["hybrid_relevance"](spark, "")
+    assert given[0].count() == 9000 and given[0].selectExpr("max(vec_id)").first()[0] > 1100
+    assert given[1].count() == 1200 and given[1].selectExpr("max(vec_id)").first()[0] == 1199
