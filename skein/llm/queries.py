@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import articles, languages, sentences, token_budget
+from skein.llm import articles, gaps, languages, sentences, token_budget
 from skein.llm.mixing import mix_sources
 from skein.llm.near_duplicates import all_pairs, groups, near_duplicates
 from skein.llm.packing import pack
@@ -117,6 +117,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mixtargets"))[1]
 
 
+def p10_method(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return gaps.gap_sentences(documents, gaps.learn_gaps(documents))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return sentences.sentences(documents, sentences.learn_all(documents))
@@ -124,5 +129,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_blocks, p2_articles, p3_found, p6_found, p4_found, p4_pieces, p5_method, p5_found, p5_totals, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares, p10_found)
+    for f in (p1_found, p1_clean, p2_found, p2_blocks, p2_articles, p3_found, p6_found, p4_found, p4_pieces, p5_method, p5_found, p5_totals, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares, p10_method, p10_found)
 }

@@ -1,11 +1,13 @@
 """Problem 10: sentence boundaries in many languages and scripts.
 
-A hidden-event n-gram language model: between words there may be a boundary event. Candidates for it
-are end marks (with the quotes and brackets they close) and, in Thai, spaces. Each has the event's
+A hidden-event n-gram language model: between words there may be a boundary event. This module holds
+its form under fixed conventions of what a sentence is: line breaks (and, in Thai, spaces) are certain
+events, places without an end mark and places inside brackets and quotations certain non-events.
+What stays open are end marks with the quotes and brackets they close. Each has the event's
 probability after the words before it and the likelihood ratio of the words behind it as the start or
-the continuation of a sentence; unseen words back off to classes of shape. Line breaks are certain
-events and words without marks between them certain non-events; expectation-maximization counts the
-rest. Events too close to be independent are decided together by forward-backward.
+the continuation of a sentence; unseen words back off to classes of shape, and
+expectation-maximization counts what is open. Events too close to be independent are decided together
+by forward-backward with a learned transition. ``gaps`` has the model without the conventions.
 
 The model's counts are those of all distinct lines of all documents, summed where they lie; what is sent
 to the driver are the counts of contexts and words that are met often enough to be kept, and sums by
@@ -17,9 +19,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +35,10 @@ ROUNDS = 5
 LEAST_LEFT, LEAST_RIGHT = 4, 5
 #: Distinct counts that a task holds before it passes them on.
 HELD_COUNTS = 200_000
-#: Log-odds of a sentence of one word between two candidates.
-ONE_WORD = -3.0
+#: Contexts and words that have odds of their own at most, the commonest first: a bound of what is broadcast.
+MOST_KEPT = 300_000
+#: Where a line ends, as ``str.splitlines`` has it.
+LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
 
 # End marks, and quotes and brackets that open and close.
 CLOSE = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“", "‹": "›", '"': '"', "【": "】", "《": "》"}
@@ -54,6 +60,7 @@ _SPACES = " \t 　     ​﻿\r\x0b\x0c"
 class Model(NamedTuple):
     left: dict[str, float]  # log-odds of the event after a context
     right: dict[str, float]  # log-likelihood ratio of a next word
+    pair: float = -3.0  # log-potential of two events with at most one word between them
 
 
 class Candidate(NamedTuple):
@@ -62,11 +69,13 @@ class Candidate(NamedTuple):
     right: tuple[str, str]
     sure: bool  # certain event
     near: bool  # at most one word since the candidate before
+    begin: int  # of what stands behind it
 
 
 _DIGITS = tuple(f"<d{n}>" for n in range(5))
 
 
+@lru_cache(1 << 16)
 def _shape(word: str) -> str:
     c = word[0]
     if c.isdigit():
@@ -195,10 +204,10 @@ def candidates(line: str, begin: int) -> list[Candidate]:
             before = line[max(0, opened - 3) : opened].rstrip()
             introduced = before[-1:] in (":", "：", ",", "，")
             opening = not line[last:opened].strip()
-        out.append(Candidate(end, _left(line, start, mark, closed, introduced, nxt > end, opening), ("", "") if not closed and first in _WIDE else _right(line, nxt, line[start - 1] if start else "a"), False, line.find(" ", last, start) < 0 or start - last < 4))
+        out.append(Candidate(end, _left(line, start, mark, closed, introduced, nxt > end, opening), ("", "") if not closed and first in _WIDE else _right(line, nxt, line[start - 1] if start else "a"), False, line.find(" ", last, start) < 0 or start - last < 4, nxt))
         last = nxt
     if _THAI.search(line):
-        out += [Candidate(m.start(), ("", ""), ("", ""), True, False) for m in _THAI_SPACE.finditer(line, begin)]
+        out += [Candidate(m.start(), ("", ""), ("", ""), True, False, m.end()) for m in _THAI_SPACE.finditer(line, begin)]
         out.sort()
     return out
 
@@ -223,7 +232,7 @@ def posteriors(found: list[Candidate], model: Model) -> list[float]:
         while j < len(found) and found[j].near:
             j += 1
         if j - i > 1:  # two states per candidate, a pair potential on both being events
-            pair = math.exp(ONE_WORD)
+            pair = math.exp(model.pair)
             weight = [math.exp(o) for o in odds[i:j]]
             forward = [(1.0, weight[0])]
             for w in weight[1:]:
@@ -264,20 +273,24 @@ def spans(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-END, OPEN, START, INNER = range(4)  # kinds of counts
+END, OPEN, START, INNER, PAIR = range(5)  # kinds of counts
 _RARE = "\x01"  # before the class of a word that is met too seldom
 Key = tuple[int, str, str, str, str]  # kind, context and its class, next word and its class
 
 
 def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
-    """Add what distinct lines hold: certain events by context, open events, starts, and words inside sentences."""
+    """Add what distinct lines hold: certain events by context, open events, starts, words inside sentences, and how often events are near."""
     inner: Counter[str] = Counter()
+    marked_lines = single = following = near = 0
     for line in lines:
         body = line.rstrip()
         m = _MARKER.match(body)
         begin = m.end() if m else len(body) - len(body.lstrip())
         found = candidates(body + " \u0001", begin)
+        words = _WORD.findall(body, begin)
+        inner.update(words[1:])
         marked = False
+        open_ = 0
         for c in found:
             if c.sure:
                 continue
@@ -286,17 +299,21 @@ def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
                 marked = True
             else:
                 counts[OPEN, *c.left, *c.right] += 1
+                w = _WORD.match(body, c.begin)
+                if w:
+                    inner[w[0]] -= 1
+            following += open_
+            near += open_ and c.near
+            open_ = 1
         if marked:  # headings and other lines without an end mark start like no sentence
             counts[START, "", "", *_right(body, begin)] += 1
-        marks = {c.end for c in found}
-        before = -1
-        for word in _WORD.finditer(body, begin):
-            w, at = word[0], word.start()
-            if before >= 0 and w[0].isalnum() and not (before in marks or before - 1 in marks or at in marks):
-                inner[w] += 1
-            before = word.end()
+            marked_lines += 1
+            single += len(found) == 1 and body.find(" ", begin) < 0
     for w, n in inner.items():
-        counts[INNER, "", "", *_right(w, 0)] += n
+        if n > 0 and w[0].isalnum():
+            counts[INNER, "", "", *_right(w, 0)] += n
+    for name, n in (("line", marked_lines), ("single", single), ("following", following), ("near", near)):
+        counts[PAIR, name, "", "", ""] += n
 
 
 def learn(texts: list[str]) -> Model:
@@ -320,91 +337,107 @@ def learn(texts: list[str]) -> Model:
     return _fit(counts, _after([(w, *x) for w, x in lefts.items()], classes))
 
 
-def learn_all(documents: DataFrame) -> Model:
-    """What ``learn`` gives for the texts of all rows, with the counts made by tasks; null texts give none."""
-    text = pa.schema([("line", pa.string())])
-    kind = pa.schema([("kind", pa.int32()), *((k, pa.string()) for k in ("l", "ls", "r", "rs")), ("n", pa.int64())])
+def distinct_lines(documents: DataFrame) -> DataFrame:
+    """(line): the distinct lines of all texts that aren't blank."""
+    lines = documents.where("text is not null").select(F.explode(F.split("text", LINE_END)).alias("line"))
+    return lines.where(F.col("line").rlike(r"\S")).distinct()
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = {s for t in batch.column(0).to_pylist() for s in t.splitlines() if s.strip()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.string())], schema=text)
+
+def summed(lines: DataFrame, count: Callable[[Iterable[str], Counter], None], names: tuple[str, ...]) -> DataFrame:
+    """(kind, names, n): what ``count`` adds up over ``lines``, summed in each task first, in a table of bounded size."""
+    kind = pa.schema([("kind", pa.int32()), *((k, pa.string()) for k in names), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[Key] = Counter()
+        counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*((*k, n) for k, n in counts.items()))) or [()] * 6
+            columns = list(zip(*((*k, n) for k, n in counts.items()))) or [()] * len(kind)
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
         for batch in batches:
-            count_lines(batch.column(0).to_pylist(), counts)
+            count(batch.column(0).to_pylist(), counts)
             if len(counts) > HELD_COUNTS:
                 yield flush()
         yield flush()
 
-    lines = documents.where("text is not null").select("text").mapInArrow(split, "line string").distinct()
-    counts = lines.mapInArrow(run, "kind int, l string, ls string, r string, rs string, n long")
-    counts = cut(counts.groupBy("kind", "l", "ls", "r", "rs").agg(F.sum("n").alias("n")))
+    schema = f"kind int, {', '.join(f'{k} string' for k in names)}, n long"
+    return lines.mapInArrow(run, schema).groupBy("kind", *names).agg(F.sum("n").alias("n"))
+
+
+def learn_all(documents: DataFrame) -> Model:
+    """What ``learn`` gives for the texts of all rows, with the counts made by tasks; null texts give none."""
+    counts = cut(summed(distinct_lines(documents), count_lines, ("l", "ls", "r", "rs")))
     of_end, of_open = F.col("kind") == END, F.col("kind") == OPEN
     goes_on = F.substring("l", 1, 1).isin("!", "?") & F.col("rs").startswith("<l")
     lefts = counts.where(of_end | of_open).groupBy("l", "ls").agg(
         F.sum(F.when(of_end, F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(of_open & ~goes_on, F.col("n")).otherwise(0)).alias("i")
     )
     lefts = cut(lefts)
-    scale = F.least(F.lit(1.0), (LEAST_LEFT - 1) / F.greatest(F.col("e") + F.col("i"), F.lit(1)))
+    met = F.col("e") + F.col("i")
+    scale = F.least(F.lit(1.0), (LEAST_LEFT - 1) / F.greatest(met, F.lit(1)))
     sums = lefts.groupBy("ls").agg(F.sum(F.col("e") * scale), F.sum(F.col("i") * scale), F.sum("e"), F.sum(F.when(F.col("e") > 0, F.col("i")).otherwise(0)))
-    often = lefts.where((F.col("e") + F.col("i") >= LEAST_LEFT) | (F.col("l") == F.col("ls")))
-    left = _after([tuple(r) for r in often.select("l", "ls", "e", "i").collect()], {r[0]: list(r)[1:] for r in sums.collect()})
-    rights = counts.where(~of_end).groupBy("r").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_RIGHT).select("r", F.lit(True).alias("known"))
-    known = counts.join(often.select("l", F.lit(True).alias("kept")), "l", "left").join(rights, "r", "left")
+    often = lefts.where((met >= LEAST_LEFT) | (F.col("l") == F.col("ls"))).orderBy(F.col("l") != F.col("ls"), met.desc(), "l").limit(MOST_KEPT)
+    kept = [tuple(r) for r in often.select("l", "ls", "e", "i").collect()]
+    left = _after(kept, {r[0]: list(r)[1:] for r in sums.collect()})
+    spark = documents.sparkSession
+    known_left = spark.createDataFrame([(r[0], True) for r in kept], "l string, kept boolean")
+    totals = counts.where(~of_end & (F.col("kind") != PAIR)).groupBy("r").agg(F.sum("n").alias("total"))
+    rights = totals.where(F.col("total") >= LEAST_RIGHT).orderBy(F.desc("total"), "r").limit(MOST_KEPT).select("r", F.lit(True).alias("known"))
+    known = counts.where(~of_end).join(known_left, "l", "left").join(rights, "r", "left")
     known = known.select(
         "kind",
-        F.when(F.col("kept"), F.col("l")).otherwise(F.col("ls")).alias("l"),
+        F.when(F.col("kept") | (F.col("kind") == PAIR), F.col("l")).otherwise(F.col("ls")).alias("l"),
         "ls",
         F.when(F.col("known") | (F.col("r") == F.col("rs")), F.col("r")).otherwise(F.concat(F.lit(_RARE), "rs")).alias("r"),
         "rs",
         "n",
     )
-    rows = known.where(~of_end).groupBy("kind", "l", "ls", "r", "rs").agg(F.sum("n").alias("n")).orderBy("kind", "l", "ls", "r", "rs").toArrow()
+    rows = known.groupBy("kind", "l", "ls", "r", "rs").agg(F.sum("n").alias("n")).orderBy("kind", "l", "ls", "r", "rs").toArrow()
     columns = [rows.column(i).to_pylist() for i in range(6)]
     return _fit(dict(zip(zip(*columns[:5]), columns[5])), left)
 
 
 def _fit(counts: dict[Key, int], left: dict[str, float]) -> Model:
-    """The rounds of expectation-maximization, given the log-odds after each context."""
-    starts = {(r, s): n for (kind, _, _, r, s), n in counts.items() if kind == START}
-    inner = {(r, s): n for (kind, _, _, r, s), n in counts.items() if kind == INNER}
-    rows = [((w, s), (r, t), n) for (kind, w, s, r, t), n in counts.items() if kind == OPEN]
-    model = Model(left, {})
-    probability = [_sigmoid(_odds_of(left, right, model)) if right[1][:2] != "<l" else 0.05 for left, right, _ in rows]
-    for _ in range(ROUNDS):
-        first, later = Counter(), Counter()
-        for side, certain in ((first, starts), (later, inner)):
-            for (word, shape), n in certain.items():
-                side[word] += n
-                if word != shape:
-                    side[shape] += n
-        for (_, right, n), p in zip(rows, probability):
-            if right[1][:2] == "<l":
-                p = 0.0  # only certain line starts tell of sentences that begin in lower case
-            for word in dict.fromkeys(right):
-                first[word] += n * p
-                later[word] += n * (1 - p)
-        begun, going = sum(first.values()) + 1, sum(later.values()) + 1
-        ratio = {
-            w: max(-8.0, min(4.0, math.log((first[w] + 0.3) / begun) - math.log((later[w] + 0.3) / going)))
-            for w in first.keys() | later.keys()
-            if first[w] + later[w] >= LEAST_RIGHT and w[:1] != _RARE
-        }
-        model = Model(model.left, ratio)
-        probability = [_sigmoid(_odds_of(left, right, model)) for left, right, _ in rows]
-    return model
-
-
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
+    """The rounds of expectation-maximization, given the log-odds after each context.
+
+    The ratios start from certain events alone, line starts against words inside sentences. For words in lower
+    case it stays so: what is open counts as their going on, since only certain starts tell of texts without capitals.
+    """
+    words: dict[str, int] = {}
+
+    def ids(names: list[str]) -> np.ndarray:
+        return np.array([words.setdefault(w, len(words)) for w in names], np.int64)
+
+    sure = [(np.array([n for k, n in counts.items() if k[0] == kind], float), *(ids([k[j] for k in counts if k[0] == kind]) for j in (3, 4))) for kind in (START, INNER)]
+    rows = [k for k in counts if k[0] == OPEN]
+    n = np.array([counts[k] for k in rows], float)
+    after = np.array([left.get(k[1], left.get(k[2], 0.0)) for k in rows])
+    word, shape = ids([k[3] for k in rows]), ids([k[4] for k in rows])
+    size = len(words)
+    names = list(words)
+    rare = np.array([w[:1] == _RARE for w in names], bool)
+    low = np.array([k[4][:2] == "<l" for k in rows], bool)
+
+    def both(weights: np.ndarray, w: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return np.bincount(w, weights, size) + np.bincount(s, weights * (w != s), size)
+
+    certain = [both(x, w, s) for x, w, s in sure]
+    soft = np.zeros(size), np.zeros(size)
+    ratio, known = np.zeros(size), np.zeros(size, bool)
+    for _ in range(ROUNDS + 1):
+        first, later = certain[0] + soft[0], certain[1] + soft[1]
+        value = np.log((first + 0.3) / (first.sum() + 1)) - np.log((later + 0.3) / (later.sum() + 1))
+        known = (first + later >= LEAST_RIGHT) & ~rare
+        ratio = np.where(known, value.clip(-8.0, 4.0), 0.0)
+        odds = after + np.where(known[word], ratio[word], ratio[shape]) if size else after
+        p = 1 / (1 + np.exp(-odds.clip(-40, 40)))
+        p = np.where(low, 0.0, p)
+        soft = both(n * p, word, shape), both(n * (1 - p), word, shape)
+    seen = {k[1]: v for k, v in counts.items() if k[0] == PAIR}
+    alone = (seen.get("single", 0) + 0.5) / (seen.get("line", 0) + 10)
+    close = (seen.get("near", 0) + 0.5) / (seen.get("following", 0) + 1)
+    return Model(left, {w: float(r) for w, r, k in zip(names, ratio, known) if k}, min(0.0, math.log(alone) - math.log(close)))
 
 
 def _after(lefts: list[tuple[str, str, int, int]], classes: dict[str, list[float]]) -> dict[str, float]:
