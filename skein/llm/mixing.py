@@ -24,7 +24,7 @@ def source_key(source: Column) -> Column:
 
 
 def budgets(totals: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per (mix_id, source): its tokens, wanted and granted tokens, and whether it falls short.
+    """One row per (mix_id, source): its tokens, wanted and granted tokens.
 
     The size of a mix is the tokens of all its sources; a source wants its weight of that and gets
     at most its tokens times ``max_repeats``.
@@ -37,17 +37,15 @@ def budgets(totals: DataFrame, targets: DataFrame) -> DataFrame:
     mix = Window.partitionBy("mix_id")
     wanted = F.coalesce("weight", F.lit(0.0)) * F.sum("source_tokens").over(mix)
     reach = F.col("source_tokens") * F.col("repeats")
-    return joined.select(
-        "mix_id", "source", "src", "weight", "repeats", "source_tokens", wanted.alias("wanted"),
-        F.least(wanted, reach.cast("double")).alias("granted"), (reach < wanted).alias("short"),
-    )
+    return joined.select("mix_id", "source", "src", "weight", "repeats", "source_tokens", wanted.alias("wanted"), F.least(wanted, reach.cast("double")).alias("granted"))
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares).
 
     chosen: mix_id, source, doc_id, tokens, copies (1 or more). shares: mix_id, source, target_weight,
-    source_tokens, granted, short, reached_tokens, reached_share.
+    source_tokens, granted, short, reached_tokens, reached_share. A source is short if all its documents were
+    drawn as often as they may be and what that reached is less than it wants.
 
     Documents without source (null or blank) take no part; a null text counts no tokens and is never
     drawn; copies of a text are documents of their own; equal keys are ordered by doc_id. ``targets``
@@ -83,6 +81,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 17) -> tup
         plan.join(reached, ["mix_id", "source"], "left")
         .withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)))
         .withColumn("reached_share", F.col("reached_tokens") / F.nullif(F.sum("reached_tokens").over(Window.partitionBy("mix_id")), F.lit(0)))
+        .withColumn("short", (F.col("reached_tokens") >= F.col("source_tokens") * F.col("repeats")) & (F.col("reached_tokens") < F.col("wanted")))
         .select("mix_id", "source", F.col("weight").alias("target_weight"), "source_tokens", "granted", "short", "reached_tokens", "reached_share")
     )
     return chosen, shares

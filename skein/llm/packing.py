@@ -2,8 +2,9 @@
 
 Only the histogram of sizes (at most ``capacity`` numbers) reaches the driver. There shallow
 combinations of lengths that fill a window just under the capacity are enumerated, non-negative
-least squares solves how often each is used, the repeats are rounded down, and what is left of the
-histogram is packed greedily, again as repeated combinations. The documents themselves are numbered
+least squares solves how often each is used, weak combinations are dropped and the rest solved again until
+repeats exceed one, and repeats are rounded; this is done again with what is left of the histogram while it
+places a fair part of it. The residual is packed greedily, again as repeated combinations. The documents themselves are numbered
 within their size, by hashed sub-ranges so that no size is ever one task's work, and look up their
 container from the combinations; nothing per document is collected.
 """
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from skein.functions.text import count_tokens
 
 MAX_CONFIGS = 1000
+#: Spans of sizes that are broadcast at most; more are joined by a shuffle.
+MAX_SPANS = 1_000_000
+#: Passes of enumerating and solving, and the share of the remaining weight that a pass must place for another.
+PASSES, FAIR_SHARE = 12, 0.02
 SUB_RANGES = 256
 
 Pattern = tuple[int, dict[int, int]]  # (containers, {size: items per container})
@@ -66,28 +71,51 @@ def _nnls(combos: list[dict[int, int]], capacity: int, histogram: np.ndarray, ro
     return x
 
 
-def plan_containers(histogram: dict[int, int], capacity: int, lengths: int = 64, rounds: int = 200) -> list[Pattern]:
+def _solved(combos: list[dict[int, int]], capacity: int, h: np.ndarray, rounds: int) -> tuple[list[dict[int, int]], np.ndarray]:
+    """Combinations and repeats: least squares again on the stronger half until most of the weight repeats at least once."""
+    while True:
+        x = _nnls(combos, capacity, h.astype(float), rounds)
+        if len(combos) <= 8 or x[x >= 1].sum() >= 0.8 * x.sum():
+            return combos, x
+        best = np.argsort(-x, kind="stable")[: (len(combos) + 1) // 2]
+        combos = [combos[i] for i in np.sort(best)]
+
+
+def plan_containers(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     """Combinations and how many containers use each; together they hold the whole histogram.
 
     Sizes must lie in 1..capacity.
     """
+    solved, rest = plan_parts(histogram, capacity)
+    return solved + rest
+
+
+def plan_parts(histogram: dict[int, int], capacity: int, lengths: int = 64, rounds: int = 100) -> tuple[list[Pattern], list[Pattern]]:
+    """The plan's patterns that come from least squares, and those of the greedy rest."""
     h = np.zeros(capacity + 1, dtype=np.int64)
     for s, n in histogram.items():
         h[s] += n
+    weight = np.arange(capacity + 1)
     out: list[Pattern] = []
-    sizes = np.flatnonzero(h)
-    if len(sizes):
-        combos = _combinations(sizes, h[sizes], capacity, lengths, slack=capacity // 256)
-        if combos:
-            x = _nnls(combos, capacity, h.astype(float), rounds)
-            for c in np.argsort(-x, kind="stable"):
-                if x[c] < 1:
-                    break
-                n = min(int(x[c]), *(int(h[s]) // k for s, k in combos[c].items()))
-                if n:
-                    out.append((n, combos[c]))
-                    for s, k in combos[c].items():
-                        h[s] -= n * k
+    for _ in range(PASSES):
+        sizes = np.flatnonzero(h)
+        combos = _combinations(sizes, h[sizes], capacity, lengths, slack=capacity // 256) if len(sizes) else []
+        combos = [c for c in combos if all(h[s] >= k for s, k in c.items())]
+        if not combos:
+            break
+        before = int(h @ weight)
+        combos, x = _solved(combos, capacity, h, rounds)
+        for c in np.argsort(-x, kind="stable"):
+            if x[c] < 0.5:
+                break
+            n = min(int(x[c] + 0.5), *(int(h[s]) // k for s, k in combos[c].items()))
+            if n:
+                out.append((n, combos[c]))
+                for s, k in combos[c].items():
+                    h[s] -= n * k
+        if before - int(h @ weight) < FAIR_SHARE * before:
+            break
+    solved, out = out, []
     left = np.flatnonzero(h)[::-1].tolist()
     while left:  # largest first; the same container as often as the counts allow
         rest, combo = capacity, {}
@@ -103,7 +131,7 @@ def plan_containers(histogram: dict[int, int], capacity: int, lengths: int = 64,
         for s, k in combo.items():
             h[s] -= n * k
         left = [s for s in left if h[s]]
-    return out
+    return solved, out
 
 
 def pack(documents: DataFrame, configs: DataFrame) -> DataFrame:
@@ -151,8 +179,8 @@ def pack(documents: DataFrame, configs: DataFrame) -> DataFrame:
     numbered = placed.withColumn("k", F.row_number().over(inside) - 1).join(starts, ["pack_id", "size", "sub"])
     rank = F.col("k") + F.col("start")
     span = F.element_at(F.filter("spans", lambda s: (s["low"] <= rank) & (rank < s["high"])), 1)
-    # Bounded by the capacities (spans per size), not by the documents.
-    last = numbered.join(F.broadcast(spans), ["pack_id", "size"]).withColumn("span", span)
+    # Their number is bounded by the capacities, not by the documents.
+    last = numbered.join(F.broadcast(spans) if len(table) <= MAX_SPANS else spans, ["pack_id", "size"]).withColumn("span", span)
     container = F.concat_ws("-", F.lit("p"), (F.col("span.base") + F.floor((rank - F.col("span.low")) / F.col("span.each"))).cast("string"))
     tail = last.select("pack_id", "doc_id", F.col("full").alias("part_idx"), (F.col("full") + 1).alias("parts"), F.col("size").alias("part_tokens"), container.alias("container_id"))
     whole = (

@@ -96,8 +96,9 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose remainder shares a container: the packed last parts of texts that were cut."""
     packed = pack(table(spark, d, "documents"), table(spark, d, "packconfig"))
-    return packed.where("parts > 1 and part_idx = 0").select("pack_id", "doc_id")
+    return packed.where("parts > 1 and part_idx = parts - 1 and container_id is not null").select("pack_id", "doc_id")
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
