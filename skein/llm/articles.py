@@ -20,9 +20,9 @@ class Models(NamedTuple):
 
 
 def fit(pages: DataFrame) -> Models:
-    """Both models from bounded samples of the pages (main_body.SAMPLE_PAGES, residue.SAMPLE_RECORDS and TRUSTED_RECORDS)."""
-    weights = main_body.learn(main_body.sample_pages(pages))
-    return Models(weights, residue.Judge(residue.learn(residue.sample_records(pages), weights)))
+    """The words and places of all pages, and the passages of a bounded sample of them (residue.SAMPLE_RECORDS and TRUSTED_RECORDS)."""
+    weights = main_body.learn(pages)
+    return Models(weights, residue.learn(residue.sample_records(pages), weights))
 
 
 def judge(text: str | None, index: bool, keys: list[int] | None, labels: list[int] | None, models: Models) -> tuple[list[str], list[int], bool, list[int]]:
@@ -37,7 +37,7 @@ def judge(text: str | None, index: bool, keys: list[int] | None, labels: list[in
     if index:  # an entry is its headline and what follows it; a whole text that contains the dash comes first
         whole = match([fingerprint(squeeze(u)) for u in units], keys or [], labels or [])
         final = [f if w is None or w == main_body.LINK else MAIN if w == main_body.HEADING else w for f, w in zip(final, whole)]
-    headed = any(x == main_body.HEADING and u.rstrip()[-1:] not in ".!?。！？…" for u, x in zip(units, found))
+    headed = any(x == main_body.HEADING and residue.is_head(u) for u, x in zip(units, found))
     case, classes = models.judge.record(units, final, headed)
     if case:
         final = [MAIN if c else x for x, c in zip(final, classes)]
@@ -69,7 +69,7 @@ def judged(pages: DataFrame, articles: DataFrame, models: Models, with_body: boo
                 inside = [i for i, x in enumerate(final) if x in (MAIN, VERBATIM, TABLE)]
                 mains.append(inside)
                 others.append([i for i, x in enumerate(final) if x not in (MAIN, VERBATIM, TABLE)])
-                residues.append([i for i, c in enumerate(classes) if c and models.judge.pure(units[i])] if case else [])
+                residues.append([i for i, c in enumerate(classes) if c and models.judge.pure(units[i], models.judge.shift(units, final, False))] if case else [])
                 bodies.append(drop.sub("", "".join(units[i] for i in inside).lower()) if with_body and not case else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(cases, pa.bool_()), pa.array(mains, ints), pa.array(others, ints), pa.array(residues, ints), pa.array(bodies, pa.string())],

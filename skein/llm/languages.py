@@ -27,9 +27,8 @@ from skein.llm.sampling import lowest
 
 SAMPLE_ARTICLES = 600
 BUCKETS = 1 << 17
-WIDTH = 12  # features of a word
 STEPS = 12
-START = 0.4  # weight of a feature's starting odds; a word has up to WIDTH overlapping features
+START = 0.4  # weight of a feature's starting odds, since a word's features overlap
 LANGS = ("en", "de", "fr", "es", "pt", "ru", "ja", "zh", "ko", "th", "hi", "ar")
 
 # Names of these languages in English and in themselves.
@@ -106,22 +105,31 @@ def script_label(text: str, stated: str) -> str | None:
 def _features(word: str) -> list[int]:
     w = f"^{word}$"
     names = [f"w{word}", f"c{_script(word) or 'latin'}", f"2{w[:3]}", f"3{w[:4]}", f"s{w[-3:]}", f"t{w[-4:]}"]
-    names += [w[i : i + 3] for i in range(1, min(len(w) - 3, WIDTH - len(names) + 1))]
+    names += [w[i : i + 3] for i in range(1, len(w) - 3)]
     h = xxhash.xxh32_intdigest
-    return [h(n) % BUCKETS for n in names[:WIDTH]]
+    return [h(n) % BUCKETS for n in names]
 
 
 class Crf(NamedTuple):
-    weights: np.ndarray  # (BUCKETS + 1, languages); the last row is padding
+    weights: np.ndarray  # (BUCKETS, languages)
     transitions: np.ndarray  # log scores (languages, languages)
 
 
-def _index(words: list[str]) -> np.ndarray:
-    out = np.full((len(words), WIDTH), BUCKETS, np.int64)
-    for i, w in enumerate(words):
-        f = _features(w)
-        out[i, : len(f)] = f
-    return out
+class Index(NamedTuple):
+    """The features of words, one after the other; every word has some."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    def emissions(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of each word's weights, by language."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        return np.add.reduceat(weights[self.flat], starts, axis=0) if len(starts) else np.empty((0, weights.shape[1]), weights.dtype)
+
+
+def _index(words: list[str]) -> Index:
+    found = [_features(w) for w in words]
+    return Index(np.array([f for x in found for f in x], np.int64), np.array([len(x) for x in found], np.int64))
 
 
 def words_of(text: str) -> list[str]:
@@ -173,7 +181,7 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
 
 def _prior() -> np.ndarray:
     """Mean of the weights: what a script says of the language."""
-    out = np.zeros((BUCKETS + 1, len(LANGS)), np.float32)
+    out = np.zeros((BUCKETS, len(LANGS)), np.float32)
     for langs in {s[2] for s in SCRIPTS}:
         out[xxhash.xxh32_intdigest(f"c{langs}") % BUCKETS, [LANGS.index(x) for x in langs.split()]] = 4.0
     return out
@@ -217,12 +225,10 @@ def learn(articles: list[tuple[str, list[str]]]) -> Crf:
     ends = np.cumsum(size)
     inner = np.ones(len(word), bool)
     inner[ends - 1] = False  # positions followed by a word of the same article
-    flat = index.ravel()
-
     def totals(per_word: np.ndarray) -> np.ndarray:
         """Sums over words' rows, for every feature."""
-        spread = np.repeat(per_word, WIDTH, 0)
-        return np.stack([np.bincount(flat, spread[:, j], BUCKETS + 1) for j in range(k)], 1)
+        spread = np.repeat(per_word, index.sizes, 0)
+        return np.stack([np.bincount(index.flat, spread[:, j], BUCKETS) for j in range(k)], 1)
 
     def by(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(rows, values[:, j], n) for j in range(k)], 1)
@@ -232,17 +238,15 @@ def learn(articles: list[tuple[str, list[str]]]) -> Crf:
         seen = totals(by(word, one[label[block]], len(vocabulary))) + 0.3
         odds = np.log(seen / seen.sum(0)) - np.log(seen.sum(1, keepdims=True) / seen.sum())
         weights = (prior + START * odds).astype(np.float32)
-        weights[BUCKETS] = 0
         if turn < 2:
-            label = by(block, weights[index].sum(1)[word], len(label)).argmax(1)
+            label = by(block, index.emissions(weights)[word], len(label)).argmax(1)
     center = weights.copy()
     seen_w, seen_t = np.full_like(weights, 1.0), np.full((k, k), 1.0)
     for _ in range(STEPS):
-        gamma, expected = forward_backward(weights[index].sum(1)[word], size, transitions)
+        gamma, expected = forward_backward(index.emissions(weights)[word], size, transitions)
         y = label[block]
         change = one[y] - gamma
         grad = totals(by(word, change, len(vocabulary))).astype(np.float32) - 0.05 * (weights - center)
-        grad[BUCKETS] = 0
         seen_w += grad**2
         weights += 0.1 * grad / np.sqrt(seen_w)
         observed = np.zeros((k, k))
@@ -280,7 +284,7 @@ class Tagger:
                 flat.append(i)
         if fresh:
             self.place.update(fresh)
-            self.table = np.concatenate((self.table, self.crf.weights[_index(list(fresh))].sum(1)))
+            self.table = np.concatenate((self.table, _index(list(fresh)).emissions(self.crf.weights)))
         lengths = np.array([len(w) for w in found], np.int64)
         some = lengths > 0
         gamma, _ = forward_backward(self.table[np.array(flat, np.int64)], lengths[some], self.crf.transitions)

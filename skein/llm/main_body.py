@@ -5,9 +5,9 @@ the page's prose), its link density, its marks, its length, and its word evidenc
 generalized to log-odds of words between prose and furniture, learned from the pages themselves. The
 second lets the blocks left open inherit the label of the nearest decided neighbour.
 
-The word evidence is fitted on at most ``SAMPLE_PAGES`` pages (lowest hash of page_id); the rules then
-run on every page. Pages shrink to (hash, label) arrays before the one shuffle, which brings them
-together with the articles' blocks.
+The word evidence is counted over all pages, and so are the lines that come back on a site's pages; the
+rules then run on every page. Pages shrink to (hash, label) arrays before the one shuffle, which brings them
+together with the articles' blocks. ``density`` has the rules without places and words.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.durable import cut
 from skein.llm.blocks import Page, parse, squeeze
 from skein.llm.repeated_lines import site_of
-from skein.llm.sampling import lowest
 from skein.llm.words import features
 
-SAMPLE_PAGES = 2500
-MAX_WORDS = 60_000
+#: Words with odds and paths of main containers that the model holds at most, the commonest.
+MAX_WORDS, MAX_ROOTS = 60_000, 20_000
+#: Words that a task counts before it passes them on.
+HELD_WORDS = 200_000
 LONG, SURE = 90, 2.0
 #: Labels: main body; furniture; furniture only by its words; code of the main body; a link in the main
 #: container, which is main body on index pages and furniture on others; heading and table of the main body.
@@ -163,85 +165,132 @@ def any_chrome(page: Page, node: int, root: int) -> bool:
     return False
 
 
-def learn(pages: list[tuple[str, str]]) -> Weights:
-    """Word evidence from (site, body) pairs.
+ROOT, WORD, TOTAL, LINE = range(4)  # kinds of rows of ``seen_blocks``
+
+
+def seen_blocks(pages: DataFrame) -> DataFrame:
+    """(kind, name, site, head, line, side0, side1): what all pages with an ``h1`` show of words by side.
+
+    ROOT rows count paths of main containers. WORD rows count, for each word, the blocks that are main body for
+    sure (long text and headings inside the container) and furniture for sure (short text outside it and
+    marked text in it), TOTAL rows the blocks; all three are summed in each task first. LINE rows are the
+    short blocks in the container that are neither: ``name`` is the text, ``line`` a hash of its letters, ``head`` one
+    of the page's title.
+    """
+    kind = pa.schema([("kind", pa.int32()), ("name", pa.string()), ("site", pa.string()), ("head", pa.int64()), ("line", pa.int64()), ("side0", pa.int64()), ("side1", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: tuple[Counter, Counter] = (Counter(), Counter())
+        totals = [0, 0]
+        roots: Counter = Counter()
+
+        def flush() -> list[tuple]:
+            out = [(WORD, w, None, None, None, sums[0][w], sums[1][w]) for w in sums[0].keys() | sums[1].keys()]
+            out += [(ROOT, p, None, None, None, n, 0) for p, n in roots.items()]
+            out.append((TOTAL, None, None, None, None, *totals))
+            for held in (*sums, roots):
+                held.clear()
+            totals[:] = [0, 0]
+            return out
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * len(kind)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+        for batch in batches:
+            rows = []
+            for site, body in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                page = parse(body)
+                title = next((b.key for b in page.blocks if b.tag == "h1"), None)
+                if title is None:
+                    continue
+                head = fingerprint(title.lower())
+                root = root_of(page, NO_WEIGHTS)
+                roots[page.paths[root]] += 1
+                within = inside(page, root)
+                for b in page.blocks:
+                    short = len(b.text) < 2 * LONG
+                    if not within[b.node]:
+                        side = 1 if b.link_share <= 0.6 and short else None
+                    elif b.marks and short and NOISE.search(b.marks):
+                        side = 1
+                    elif b.tag in HEADINGS or (len(b.text) >= LONG and b.tag not in ("pre", "table")):
+                        side = 0
+                    else:
+                        side = None
+                        letters = _LETTERS.sub("", b.text.lower()) if b.tag not in SOLID and b.link_share <= 0.6 else ""
+                        if letters:
+                            rows.append((LINE, b.text, site, head, fingerprint(letters), 0, 0))
+                    if side is not None:
+                        sums[side].update(features(b.text))
+                        totals[side] += 1
+            if len(sums[0]) + len(sums[1]) > HELD_WORDS:
+                rows += flush()
+            yield batch_of(rows)
+        yield batch_of(flush())
+
+    own = pages.where("body is not null").select(F.coalesce(site_of(F.col("final_url")), F.lit("")).alias("site"), "body")
+    return own.mapInArrow(run, "kind int, name string, site string, head long, line long, side0 long, side1 long")
+
+
+def learn(pages: DataFrame) -> Weights:
+    """Word evidence and container paths, counted over all pages.
 
     Furniture: text outside the main container, marked text in it, and short lines in it that come
-    back in three or more pages of their site (pages that are mostly such lines are copies and left
-    out). Main: long text and headings in it. Other short text is labelled by the evidence so far, and
-    the evidence is counted again with it, twice.
+    back on pages of their site with three or more titles (copies of a page have one). Main: long text and headings in it. Other short text is labelled by the evidence so far, and
+    the evidence is counted again with it, twice. What reaches the driver are the MAX_WORDS commonest words and the
+    MAX_ROOTS commonest paths. Of repeated rows of a page each counts.
     """
-    fixed: list[tuple[tuple[str, ...], bool]] = []
-    open_: list[tuple[str, str, tuple[str, ...], int]] = []  # site, line, features, page
-    words: dict[str, str] = {}
-
-    def shared(text: str) -> tuple[str, ...]:
-        """A text's features, each kept in memory once."""
-        return tuple(words.setdefault(f, f) for f in features(text))
-
-    seen: dict[tuple[str, str], set[int]] = {}
-    per_page: Counter = Counter()
-    roots: Counter = Counter()
-    for n, (site, body) in enumerate(pages):
-        page = parse(body)
-        if not any(b.tag == "h1" for b in page.blocks):
-            continue
-        root = root_of(page, NO_WEIGHTS)
-        roots[page.paths[root]] += 1
-        within = inside(page, root)
-        for b in page.blocks:
-            short = len(b.text) < 2 * LONG
-            if not within[b.node]:
-                if b.link_share <= 0.6 and short:
-                    fixed.append((shared(b.text), True))
-            elif b.marks and short and NOISE.search(b.marks):
-                fixed.append((shared(b.text), True))
-            elif b.tag in HEADINGS or (len(b.text) >= LONG and b.tag not in ("pre", "table")):
-                fixed.append((shared(b.text), False))
-            elif b.tag not in SOLID and b.link_share <= 0.6:
-                line = _LETTERS.sub("", b.text.lower())
-                if line:
-                    open_.append((site, line, shared(b.text), n))
-                    seen.setdefault((site, line), set()).add(n)
-                    per_page[n] += 1
-    often = Counter(n for site, line, _, n in open_ if len(seen[site, line]) >= 3)
-    copies = {n for n, k in often.items() if k > 0.6 * per_page[n] and k > 4}
-    rest: list[tuple[str, ...]] = []
-    for site, line, found, n in open_:
-        if len(seen[site, line] - copies) >= 3 and n not in copies:
-            fixed.append((found, True))
-        else:
-            rest.append(found)
-    sides: list[bool | None] = [None] * len(rest)
+    seen = cut(seen_blocks(pages))
+    lines = seen.where(F.col("kind") == LINE).groupBy("name", "site", "line", "head").agg(F.count("*").alias("n"))
+    often = lines.groupBy("site", "line").agg(F.countDistinct("head").alias("heads")).where("heads >= 3").select("site", "line", F.lit(True).alias("hit"))
+    texts = cut(lines.join(often, ["site", "line"], "left").groupBy("name", F.coalesce("hit", F.lit(False)).alias("hit")).agg(F.sum("n").alias("n")))
+    roots = seen.where(F.col("kind") == ROOT).groupBy("name").agg(F.sum("side0").alias("n")).orderBy(F.desc("n"), "name").limit(MAX_ROOTS).collect()
+    sure = cut(seen.where(F.col("kind").isin(WORD, TOTAL)).groupBy("name").agg(F.sum("side0").alias("side0"), F.sum("side1").alias("side1")))
     weights: dict[str, float] = {}
-    for _ in range(3):
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        totals = [1.0, 1.0]
-        for found, side in (*fixed, *zip(rest, sides)):
-            if side is not None:
-                counts[side].update(found)
-                totals[side] += 1
-        vocabulary = counts[0] + counts[1]
+    for turn in range(3):
+        both = sure.unionByName(_judged_words(texts, weights, turn == 0)).groupBy("name").agg(F.sum("side0").alias("side0"), F.sum("side1").alias("side1"))
+        total = F.col("side0") + F.col("side1")
+        kept = both.where((total >= 3) | F.col("name").isNull()).orderBy(F.col("name").isNotNull(), F.desc(total), "name").limit(MAX_WORDS + 1).collect()
+        m0, m1 = next(((r.side0 + 1.0, r.side1 + 1.0) for r in kept if r.name is None), (1.0, 1.0))
         weights = {
-            w: math.log((counts[1][w] + 0.1) / (totals[1] + 0.2)) - math.log((counts[0][w] + 0.1) / (totals[0] + 0.2))
-            for w, n in vocabulary.most_common(MAX_WORDS)
-            if n >= 3
+            r.name: math.log((r.side1 + 0.1) / (m1 + 0.2)) - math.log((r.side0 + 0.1) / (m0 + 0.2))
+            for r in kept
+            if r.name is not None
         }
-        values = [evidence_of(found, weights) for found in rest]
-        sides = [True if v > SURE else False if v < -SURE else None for v in values]
-    return Weights(weights, dict(roots))
+    return Weights(weights, {r.name: r.n for r in roots})
 
 
-def evidence_of(words: tuple[str, ...], weights: dict[str, float]) -> float:
-    get = weights.get
-    return sum(get(f, 0.0) for f in words)
+def _judged_words(texts: DataFrame, weights: dict[str, float], first: bool) -> DataFrame:
+    """(name, side0, side1) of the words of ``texts`` (name, hit, n), and of the blocks under a null name: furniture where ``hit``, else by the evidence so far."""
+    kind = pa.schema([("name", pa.string()), ("side0", pa.int64()), ("side1", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
+            names = list(sums[0].keys() | sums[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([s[w] for w in names], pa.int64()) for s in sums)], schema=kind)
+            for s in sums:
+                s.clear()
+            return out
 
-def sample_pages(pages: DataFrame, limit: int = SAMPLE_PAGES) -> list[tuple[str, str]]:
-    """(site, body) of at most ``limit`` pages, the same ones at every run."""
-    own = pages.where("body is not null")
-    rows = own.select("page_id", F.coalesce(site_of(F.col("final_url")), F.lit("")).alias("site"), "body")
-    return [(r.site, r.body) for r in lowest(rows, "page_id", limit, pages.count()).select("site", "body").collect()]
+        get = weights.get
+        for batch in batches:
+            for text, hit, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = features(text)
+                value = SURE + 1 if hit else sum(get(f, 0.0) for f in found)
+                if abs(value) > SURE:
+                    side = sums[value > 0]
+                    for f in found:
+                        side[f] += n
+                    side[None] += n
+            if len(sums[0]) + len(sums[1]) > HELD_WORDS:
+                yield flush()
+        yield flush()
+
+    own = texts.where("hit") if first else texts
+    return own.select("name", "hit", "n").mapInArrow(run, "name string, side0 long, side1 long")
 
 
 def page_labels(pages: DataFrame, weights: Weights) -> DataFrame:

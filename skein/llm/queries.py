@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import articles, gaps, languages, sentences, token_budget
+from skein.llm import articles, density, gaps, languages, sentences, token_budget
 from skein.llm.mixing import mix_sources
 from skein.llm.near_duplicates import all_pairs, groups, near_duplicates
 from skein.llm.packing import pack
 from skein.llm.repeated_lines import flag_repeated, without_repeated
 from skein.llm.splitting import split_oversized
-from skein.tables import table
+from skein.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,7 @@ def _tagger(spark: SparkSession, d: str) -> languages.Crf:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pages, texts = table(spark, d, "pages"), table(spark, d, "articles")
+    pages, texts = spread(table(spark, d, "pages")), table(spark, d, "articles")
     residue = articles.judged(pages, texts, articles.fit(pages)).where("case").select("source_id", F.explode("residue").alias("unit_idx"))
     return languages.foreign_units(table(spark, d, "units"), texts, _tagger(spark, d), residue)
 
@@ -45,12 +45,16 @@ def p2_articles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     return articles.judged(pages, table(spark, d, "articles"), articles.fit(pages)).where("case").select("source_id")
 
 
+def p6_method(spark: SparkSession, d: str) -> DataFrame:
+    return density.other_units(spread(table(spark, d, "pages")), table(spark, d, "articles"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     rows = articles.judged(pages, table(spark, d, "articles"), articles.fit(pages))
     return rows.select("source_id", F.explode("other").alias("unit_idx"))
 
@@ -82,7 +86,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near_articles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     bodies = articles.judged(pages, table(spark, d, "articles"), articles.fit(pages), with_body=True)
     return near_duplicates(bodies.where("not case").select(F.col("source_id").alias("id"), "body"))
 
@@ -97,38 +101,38 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose remainder shares a container: the packed last parts of texts that were cut."""
-    packed = pack(table(spark, d, "documents"), table(spark, d, "packconfig"))
+    packed = pack(spread(table(spark, d, "documents")), table(spark, d, "packconfig"))
     return packed.where("parts > 1 and part_idx = parts - 1 and container_id is not null").select("pack_id", "doc_id")
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents"), table(spark, d, "packconfig"))
+    return pack(spread(table(spark, d, "documents")), table(spark, d, "packconfig"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    _, shares = mix_sources(table(spark, d, "documents"), table(spark, d, "mixtargets"))
+    _, shares = mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mixtargets"))
     return shares.where(F.col("short")).select("mix_id", "source")
 
 
 def p9_chosen(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mixtargets"))[0]
+    return mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mixtargets"))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mixtargets"))[1]
+    return mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mixtargets"))[1]
 
 
 def p10_method(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents"))
     return gaps.gap_sentences(documents, gaps.learn_gaps(documents))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents"))
     return sentences.sentences(documents, sentences.learn_all(documents))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_blocks, p2_articles, p3_found, p6_found, p4_found, p4_pieces, p5_method, p5_found, p5_totals, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares, p10_method, p10_found)
+    for f in (p1_found, p1_clean, p2_found, p2_blocks, p2_articles, p3_found, p6_method, p6_found, p4_found, p4_pieces, p5_method, p5_found, p5_totals, p7_found, p7_groups, p8_found, p8_packed, p9_found, p9_chosen, p9_shares, p10_method, p10_found)
 }

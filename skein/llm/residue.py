@@ -1,11 +1,12 @@
 """Problem 3: template residue, filler text and error or script notices.
 
 Positive-unlabelled naive Bayes over passages (sentences of the main container's text) with three
-classes: clean, placeholder and notice. Trusted passages are those with template syntax or mostly
-filler vocabulary, all text of records that hold little else, and the little text of pages that
-failed; passages of records rich in other text are clean. The rest is unlabelled and starts as clean;
-expectation-maximization moves what looks like the trusted passages. Passage scores are aggregated per record: one placeholder
-passage makes a case, notices only where no clean passage stands beside them.
+classes: clean, placeholder and notice. Features are words, adjacent pairs and signs (template syntax, repeated
+dummy words, filler vocabulary), which weigh what the fit gives them. Trusted passages are those with a sign,
+all text of records that hold little else, and the little text of pages that failed; passages of records rich
+in other text are clean. The rest is unlabelled; expectation-maximization decides it, and learns how
+likely notices are in records of each size, with and without a heading. Passage scores are aggregated per record:
+one placeholder passage makes a case, notices only where no clean passage stands beside them.
 """
 
 from __future__ import annotations
@@ -19,21 +20,23 @@ from pyspark.sql import functions as F
 
 from skein.llm.blocks import parse
 from skein.llm.main_body import HEADING, MAIN, TABLE, VERBATIM, WORDED, Weights, label
-from skein.llm.sampling import lowest
+from skein.llm.sampling import below, share_of
 
 SAMPLE_RECORDS = 1500
 TRUSTED_RECORDS = 3000
 CLEAN, PLACEHOLDER, NOTICE = 0, 1, 2
 ROUNDS = 4
 RICH = 4
-#: Log of how much likelier a notice is in a record with little text than in all records.
-POOR_SHIFT = 5.0
-#: The same for a record with next to no text and no heading.
-BARE_SHIFT = 14.0
+#: Bodies over so many bytes aren't sampled; with the numbers of records it bounds what reaches the driver.
+SAMPLE_BYTES = 1 << 16
+#: Where a passage starts that is neither trusted nor of a rich record: its chance of being a notice.
+UNLABELLED = 0.1
+#: Log-odds from which a passage is a placeholder: one is enough to exclude a record.
+SURE = 2.0
 
 # Unfilled template syntax.
 SYNTAX = re.compile(
-    r"\{\{.{0,80}?\}\}|\$\{[^{}]{1,80}\}|#\{[^{}]{1,80}\}|<%.{0,80}?%>|&lt;%|\{%.{0,80}?%\}|\[\[[^\[\]]{1,80}\]\]|%[A-Z][A-Z0-9_]*%|__[A-Z0-9_]+__"
+    r"\{\{.{0,80}?\}\}|\$\{[^{}]{1,80}\}|#\{[^{}]{1,80}\}|<%.{0,80}?%>|&lt;%|\{%.{0,80}?%\}|\[\[[^\[\]]{1,80}\]\]|\[[A-Z][A-Z0-9_ ]{2,30}\]|%[A-Z][A-Z0-9_]*%|__[A-Z0-9_]+__"
     r"|\{[a-z0-9_.]*(?:\|[a-z_]+)?\}|\?[a-z0-9]+_[a-z0-9_]+\?|\[object Object\]|\bNaN/NaN|&lt;insert [^&]{1,60}&gt;|<insert [^<>]{1,60}>"
 )
 # Words of the usual filler text.
@@ -71,29 +74,42 @@ def grams(words: list[str]) -> set[str]:
     return {*words, *map(" ".join, zip(words, words[1:]))}
 
 
-def is_trusted(passage: str, words: list[str], table: bool = False) -> bool:
-    """Whether a passage is residue beyond doubt: template syntax, repeated dummy words or mostly filler words.
+def signs(passage: str, words: list[str], table: bool = False) -> list[str]:
+    """Features of a passage beside its words: template syntax, repeated dummy words and mostly filler words.
 
-    In a table, cells may well repeat.
+    In a table, cells may well repeat. Syntax in quotation marks of a longer sentence is written about, not left over.
     """
-    if SYNTAX.search(passage) or (not table and _REPEATED.search(passage)):
-        return True
-    plain = [w for w in words if w.isalpha()]
-    strong = sum(w in _STRONG_FILLER for w in plain)
-    return strong >= 2 and 2 * sum(w in FILLER for w in plain) > len(plain)
+    out = []
+    if SYNTAX.search(passage) and not _mentions(passage):
+        out.append("<syntax>")
+    if not table and _REPEATED.search(passage) and not _mentions(passage):
+        out.append("<repeated>")
+    strong = sum(w in _STRONG_FILLER for w in words)
+    if strong >= 2 and 2 * sum(w in FILLER for w in words) > sum(map(str.isalpha, words)):
+        out.append("<filler>")
+    return out
+
+
+def is_trusted(passage: str, words: list[str], table: bool = False) -> bool:
+    """Whether a passage has a sign of residue: what the fit trusts."""
+    return bool(signs(passage, words, table))
+
 
+def score(passage: str, model: Model, words: list[str] | None = None, shift: float = 0.0, table: bool = False) -> tuple[float, float]:
+    """Log-odds of placeholder and of notice against clean; ``shift`` is what the record's size adds to the latter.
 
-def score(passage: str, model: Model, words: list[str] | None = None) -> tuple[float, float]:
-    """Log-odds of placeholder and of notice against clean."""
+    Pairs of words are asked only where words and signs leave it open.
+    """
     words = tokens(passage) if words is None else words
     get = model.get
     p, e = model[""]
-    for w in set(words):
+    e += shift
+    for w in {*words, *signs(passage, words, table)}:
         v = get(w)
         if v:
             p += v[0]
             e += v[1]
-    if p < -8 and e < -8:  # pairs could not turn it
+    if p < -8 and e < -8:
         return p, e
     for w in set(map(" ".join, zip(words, words[1:]))):
         v = get(w)
@@ -103,84 +119,58 @@ def score(passage: str, model: Model, words: list[str] | None = None) -> tuple[f
     return p, e
 
 
+Size = tuple[int, bool]
+
+
+def size_class(texts: list[str], headed: bool) -> Size:
+    """Records are alike in size if their texts' bytes have equally many binary digits and there is a heading or none."""
+    return min(14, sum(len(t.encode("utf-8", "surrogatepass")) for t in texts).bit_length()), headed
+
+
+def is_head(text: str) -> bool:
+    """Whether a heading titles something, and isn't itself a message."""
+    return text.rstrip()[-1:] not in ".!?。！？…"
+
+
 class Judge:
-    """A fitted model with the words that alone could make a passage residue, so that most passages need no sum."""
+    """A fitted model: words, and by size of record what it adds to the log-odds of a notice."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, sizes: dict[Size, float] | None = None):
         self.model = model
-        self.hold = {w for w, (p, _) in model.items() if p > 1.5 and w}
-        self.note = {w for w, (_, e) in model.items() if e > 1.5 and w}
+        self.sizes = sizes or {}
 
     def unit(self, text: str, shift: float, table: bool = False) -> int:
-        """The class of a unit: of its most residual passage.
-
-        In a record with little text notices are far likelier than in the corpus; ``shift`` adds that,
-        and without one no notice is looked for.
-        """
+        """The class of a unit: of its most residual passage; no notice is looked for in a table."""
         best = CLEAN
+        clean = False
         for passage in passages(text):
-            words = tokens(passage)
-            if _may_be_trusted(passage, words) and is_trusted(passage, words, table) and not _mentions(passage):
-                return PLACEHOLDER
-            distinct = set(words)
-            if len(distinct & self.hold) < 2 and not (shift and (shift > POOR_SHIFT or distinct & self.note)):
-                continue
-            p, e = score(passage, self.model, words)
-            if p > 0 and p >= e:
+            p, e = score(passage, self.model, shift=shift, table=table)
+            if p > SURE and (p >= e or table):
                 return PLACEHOLDER
-            if shift and e + shift > 0:
+            if e > 0:
                 best = NOTICE
-        return best
+            else:
+                clean = True
+        return CLEAN if table or (clean and best == NOTICE and shift <= 0) else best
 
-    def pure(self, text: str, shift: float = POOR_SHIFT) -> bool:
+    def pure(self, text: str, shift: float = 0.0) -> bool:
         """Whether a unit is nothing but residue: each of its passages is."""
-        for passage in passages(text):
-            words = tokens(passage)
-            if is_trusted(passage, words):
-                continue
-            p, e = score(passage, self.model, words)
-            if p <= 0 and e + shift <= 0:
-                return False
-        return True
+        return all(max(score(passage, self.model, shift=shift)) > 0 for passage in passages(text))
 
-    def notice_share(self, texts: list[str], labels: list[int]) -> float:
-        """The share of a record's passages that could be notices in a record of nothing else.
-
-        0 where a unit holds none, as no notice makes a case beside a clean unit.
-        """
-        could, every = 0, 0
-        for text, x in zip(texts, labels):
-            if x in (VERBATIM, TABLE):
-                return 0.0
-            if x != MAIN:
-                continue
-            found = passages(text)
-            here = 0
-            for passage in found:
-                p, e = score(passage, self.model)
-                here += e + POOR_SHIFT > 0 and e > p
-            if not here:
-                return 0.0
-            could, every = could + here, every + len(found)
-        return could / every if every else 0.0
+    def shift(self, texts: list[str], labels: list[int], headed: bool) -> float:
+        return self.sizes.get(size_class([t for t, x in zip(texts, labels) if x in (MAIN, WORDED, VERBATIM, TABLE)], headed), 0.0)
 
     def record(self, texts: list[str], labels: list[int], headed: bool = True) -> tuple[bool, list[int]]:
         """Whether a record is residue, and its units' classes; ``headed``: whether its main body has a heading."""
-        own = [t for t, x in zip(texts, labels) if x in (MAIN, WORDED, VERBATIM, TABLE)]
-        size = sum(map(len, own))
-        shift = POOR_SHIFT if len(own) <= 6 and size < 500 else POOR_SHIFT * self.notice_share(texts, labels)
-        if len(own) <= 3 and size < 250 and not headed:
-            shift = BARE_SHIFT
-        classes = [self.unit(t, 0.0 if x == TABLE else shift, x == TABLE) if x in (MAIN, WORDED, TABLE) else CLEAN for t, x in zip(texts, labels)]
+        shift = self.shift(texts, labels, headed)
+        classes = [self.unit(t, shift, x == TABLE) if x in (MAIN, WORDED, TABLE) else CLEAN for t, x in zip(texts, labels)]
+        if PLACEHOLDER in classes:  # furniture beside it is no notice
+            classes = [CLEAN if c == NOTICE and x == WORDED else c for c, x in zip(classes, labels)]
         return is_case(labels, classes), classes
 
 
-def _may_be_trusted(passage: str, words: list[str]) -> bool:
-    return any(c in passage for c in "{}[]%_<&?/") or len(words) < 40 or not _STRONG_FILLER.isdisjoint(words)
-
-
 def _mentions(passage: str) -> bool:
-    """Syntax inside quotation marks of a longer sentence is written about, not left over."""
+    """Whether the syntax of a longer sentence stands in quotation marks only."""
     bare = re.sub(r"“[^”]*”|‘[^’]*’|«[^»]*»|`[^`]*`", "", passage)
     return bare != passage and not SYNTAX.search(bare) and len(bare) > 40
 
@@ -196,19 +186,22 @@ def is_case(labels: list[int], classes: list[int]) -> bool:
 
 def sample_records(pages: DataFrame, plain: int = SAMPLE_RECORDS, trusted: int = TRUSTED_RECORDS) -> list[tuple[int, str]]:
     """(status, body) of at most ``plain`` pages and ``trusted`` pages that may hold trusted passages; the same ones at every run."""
-    some = pages.where("body is not null").select("page_id", F.coalesce("status", F.lit(0)).alias("status"), "body")
+    some = pages.where(F.col("body").isNotNull() & (F.octet_length("body") <= SAMPLE_BYTES)).select("page_id", F.coalesce(F.col("status"), F.lit(0)).alias("status"), "body")
     body = F.col("body")
-    signs = ["${", "#{", "<%", "[[", "{%", "NaN/NaN", "&lt;", "__", " ipsum ", "tbd", "xxx", "asdf", "{0}", "<noscript><p>"]
+    marks = ["${", "#{", "<%", "[[", "{%", "NaN/NaN", "&lt;", "__", " ipsum ", "tbd", "xxx", "asdf", "{0}", "<noscript><p>"]
     may = F.col("status") >= 400
-    for sign in signs:
-        may = may | body.contains(sign)
-    rows = pages.count()
-    # About a tenth of the pages may be trusted; were it all, still no more than ten times the bound would be sent.
-    picked = (lowest(some, "page_id", plain, rows), lowest(some.where(may), "page_id", trusted, rows // 10))
-    return [(r.status, r.body) for part in picked for r in part.select("status", "body").collect()]
-
-
-def learn(records: list[tuple[int, str]], weights: Weights) -> Model:
+    for mark in marks:
+        may = may | body.contains(mark)
+    rows, maybe = some.agg(F.count("*"), F.count_if(may)).first()
+    # One pass for both: a row is taken for either share of hashes it lies in.
+    in_plain, in_may = below(F.col("page_id"), share_of(rows, plain)), may & below(F.col("page_id"), share_of(maybe, trusted))
+    picked = some.where(in_plain | in_may).withColumn("plain", in_plain).withColumn("may", in_may)
+    order = F.xxhash64("page_id")
+    parts = [picked.where(c).orderBy(order, "page_id").limit(n).select("status", "body") for c, n in (("plain", plain), ("may", trusted))]
+    return [(r.status, r.body) for r in parts[0].unionAll(parts[1]).collect()]
+
+
+def learn(records: list[tuple[int, str]], weights: Weights) -> Judge:
     """Fit by expectation-maximization.
 
     Passages of records with RICH or more other passages are clean unless trusted to be residue: a
@@ -218,6 +211,8 @@ def learn(records: list[tuple[int, str]], weights: Weights) -> Model:
     counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
     mass = [1.0, 1.0, 1.0]
     open_: Counter = Counter()
+    passages_of: Counter = Counter()  # by size of record
+    notices_of: Counter = Counter()
 
     def add(words: list[str], side: int) -> None:
         counts[side].update(grams(words))
@@ -228,49 +223,64 @@ def learn(records: list[tuple[int, str]], weights: Weights) -> Model:
         if not page.blocks:
             continue
         own = [(b, x) for b, x in zip(page.blocks, label(page, weights)) if x in (MAIN, WORDED, HEADING)]
-        found = [(p, tokens(p), b.tag) for b, x in own for p in passages(b.text)]
-        sure = [is_trusted(p, w) and not _mentions(p) for p, w, _ in found]
+        found = [(p, tokens(p), b.tag, x) for b, x in own for p in passages(b.text)]
+        marks = [signs(p, w) for p, w, _, _ in found]
         prose = [t for t in found if t[2][0] != "h"]
-        mostly = any(sure) and sum(sure) * 2 >= len(prose)
-        rich = len(prose) - sum(sure) >= RICH
+        trusted = sum(map(bool, marks))
+        mostly = trusted and trusted * 2 >= len(prose)
+        rich = len(prose) - trusted >= RICH
         app = any(page.tags[b.node] == "noscript" for b, _ in own)
-        failed = not any(sure) and (app or status >= 400) and len(found) <= 3 and sum(len(p) for p, _, _ in found) < 250
-        for (_, words, tag), s in zip(found, sure):
-            if s or (mostly and tag[0] != "h"):
+        failed = not trusted and (app or status >= 400) and len(found) <= 3 and sum(len(p) for p, _, _, _ in found) < 250
+        size = size_class([b.text for b, x in own if x != HEADING or not is_head(b.text)], any(x == HEADING and is_head(b.text) for b, x in own))
+        for (_, words, _, x), s in zip(found, marks):
+            words = [*words, *s]
+            if s or (mostly and x == MAIN):
                 add(words, PLACEHOLDER)
-            elif rich:
+                continue
+            passages_of[size] += 1
+            if rich:
                 add(words, CLEAN)
             elif failed:
                 add(words, NOTICE)
+                notices_of[size] += 1
             else:
-                open_[tuple(words)] += 1
+                open_[tuple(words), size] += 1
     # What clean passages hold once says little and is most of what they hold.
     counts = (Counter({w: n for w, n in counts[CLEAN].items() if n > 1}), *counts[1:])
-    rows = [(grams(list(w)), math.log2(1 + n)) for w, n in open_.items()]
-    soft = [(0.0, 0.0)] * len(rows)
+    rows = [(grams(list(w)), size, n) for (w, size), n in open_.items()]
+    soft = [(0.0, UNLABELLED)] * len(rows)
     model: Model = {}
+    shifts: dict[Size, float] = {}
     for turn in range(ROUNDS):
         now: tuple[dict, dict, dict] = tuple(dict(c) for c in counts)  # type: ignore[assignment]
         m = list(mass)
-        for (words, n), (p, e) in zip(rows, soft):
+        noted = Counter(notices_of)
+        for (words, size, n), (p, e) in zip(rows, soft):
+            noted[size] += n * e
             for side, share in ((0, 1 - p - e), (1, p), (2, e)):
                 if share > 0.01:
-                    counter, v = now[side], n * share
+                    counter, v = now[side], math.log2(1 + n) * share
                     m[side] += v
                     for w in words:
                         counter[w] = counter.get(w, 0.0) + v
         clean, hold, note = now
         model = {"": (math.log(m[1] / m[0]), math.log(m[2] / m[0]))}
+        base = sum(noted.values()) / max(1, sum(passages_of.values()))
+        shifts = {}
+        for size, n in passages_of.items():
+            share = (noted[size] + base + 0.01) / (n + 1.02)
+            shifts[size] = math.log(share / (1 - share)) - model[""][1]
         for w in {*hold, *note, *(w for w, n in clean.items() if n >= 3)}:
             c, p, e = clean.get(w, 0.0), hold.get(w, 0.0), note.get(w, 0.0)
             if c + p + e >= 1.5:
-                base = math.log((c + 0.05) / m[0])
-                model[w] = (math.log((p + 0.05) / m[1]) - base, math.log((e + 0.05) / m[2]) - base)
+                low = math.log((c + 0.05) / m[0])
+                model[w] = (math.log((p + 0.05) / m[1]) - low, math.log((e + 0.05) / m[2]) - low)
         if turn == ROUNDS - 1:
             break
         get = model.get
-        for i, (words, _) in enumerate(rows):
+        for i, (words, size, _) in enumerate(rows):
             p, e = model[""]
+            e += shifts[size]
             for w in words:
                 v = get(w)
                 if v:
@@ -279,5 +289,4 @@ def learn(records: list[tuple[int, str]], weights: Weights) -> Model:
             top = max(p, e, 0.0)
             x, y, z = math.exp(p - top), math.exp(e - top), math.exp(-top)
             soft[i] = (x / (x + y + z), y / (x + y + z))
-    return model
-
+    return Judge(model, shifts)

@@ -189,7 +189,7 @@ def test_nearest():
 
 
 def test_long_notices_and_tables():
-    judge = residue.Judge({"": (-6.0, -4.0), "failed": (0.0, 4.0), "reload": (0.0, 4.0), "river": (-2.0, -3.0)})
+    judge = residue.Judge({"": (-6.0, -4.0), "failed": (0.0, 4.0), "reload": (0.0, 4.0), "river": (-2.0, -3.0), "<syntax>": (9.0, 0.0), "<repeated>": (9.0, 0.0)})
     notice = [f"The request number {i} failed, so please reload the page or ask for help at the desk, where somebody knows more." for i in range(9)]
     content = "The river runs past the old town, where a stone house stands near the water, and nobody has lived there for a long time."
     assert sum(map(len, notice)) > 500 and judge.record(notice, [main_body.MAIN] * 9)[0]
