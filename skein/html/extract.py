@@ -101,7 +101,7 @@ def extract(pages: DataFrame, options: ExtractOptions = ExtractOptions(), key: s
                 article, error = None, None
                 if not source:
                     error = {"kind": "ExtractError", "message": "no content extracted"}
-                elif len(source) > options.max_bytes:
+                elif 4 * len(source) > options.max_bytes and len(source.encode("utf-8", "surrogatepass")) > options.max_bytes:
                     error = {"kind": "NetworkError", "message": "body too large"}
                 else:
                     try:
@@ -117,10 +117,10 @@ def extract(pages: DataFrame, options: ExtractOptions = ExtractOptions(), key: s
     return out.withColumnRenamed("key", key)
 
 
-def units_of(articles: DataFrame, key: str = "page_id") -> DataFrame:
-    """(source_id, unit_idx, kind, level, text, markdown, heading_path, tokens) of extracted articles."""
-    return articles.select(F.col(key).alias("source_id"), F.posexplode("article.units").alias("unit_idx", "u")).select(
-        "source_id", "unit_idx", "u.kind", "u.level", "u.text", "u.markdown", "u.heading_path", "u.tokens"
+def units_of(articles: DataFrame, key: str = "page_id", *more: str) -> DataFrame:
+    """(source_id, unit_idx, kind, level, text, markdown, heading_path, tokens) of extracted articles, and the columns named in ``more``."""
+    return articles.select(F.col(key).alias("source_id"), *more, F.posexplode("article.units").alias("unit_idx", "u")).select(
+        "source_id", "unit_idx", "u.kind", "u.level", "u.text", "u.markdown", "u.heading_path", "u.tokens", *more
     )
 
 

@@ -18,6 +18,7 @@ INLINE = frozenset(
 INSPECT_BYTES = 2048
 _CITED = ("reference", "citation", "footnote", "cite")
 _MARKED = re.compile(r"[\\\[\]*`~#>]")
+_FORGED = re.compile(r"^( {0,3})(#{1,2})( |$)", re.M)  # T9: what would start a heading
 _ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 _LANGUAGE = re.compile(r"(?:language-|lang-|highlight-source-|highlight-text-|sourceCode-)(.+)")
 _PLAIN_PARAGRAPHS = frozenset("p dd dt figcaption summary address".split())
@@ -93,6 +94,8 @@ class Writer:
         return sum(len(u.text) for u in self.units)
 
     def emit(self, kind: str, level: int, text: str, markdown: str) -> None:
+        if kind not in ("heading", "code"):
+            markdown = _FORGED.sub(r"\1\\\2\3", markdown)
         names = [t for _, t in (self.trail[:-1] if kind == "heading" else self.trail)]
         self.units.append(Unit(kind, level, text, markdown, names, estimate(markdown)))
 

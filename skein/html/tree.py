@@ -171,7 +171,8 @@ class Document:
                 stack.append(node)
         self.nodes = list(self.root.walk())
         self._measure()
-        self.total = next((x.text_len for x in self.nodes if x.name == "body"), 0)
+        #: Text of the body, or of the first element where there is no body.
+        self.total = next((x.text_len for x in self.nodes if x.name == "body"), next((x.text_len for x in self.nodes[1:] if x.name), 0))
 
     def _measure(self) -> None:
         """Sums over subtrees, in one pass from the leaves up."""
@@ -195,4 +196,4 @@ class Document:
                 up.has_block = up.has_block or node.has_block or node.name in BLOCKS
 
     def dominant(self, node: Node) -> bool:
-        return node.text_len * 2 > self.total
+        return self.total > 0 and node.text_len * 2 > self.total

@@ -41,10 +41,10 @@ def shingle_f1(got: Column, expected: Column) -> Column:
 
 
 def furniture_hits(text: Column) -> Column:
-    """M2: how many furniture phrases a text contains."""
-    out = F.lit(0)
+    """M2: how many furniture phrases a text contains, in whatever case."""
+    out, low = F.lit(0), F.lower(text)
     for phrase in FURNITURE:
-        out = out + F.contains(text, F.lit(phrase)).cast("int")
+        out = out + F.contains(low, F.lit(phrase.lower())).cast("int")
     return out
 
 

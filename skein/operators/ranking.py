@@ -118,8 +118,8 @@ def score_units(units: DataFrame, queries: DataFrame, semantic_weight: float = 0
     if (vectors is None) != (query_vectors is None):
         raise ValueError("give both vectors and query_vectors, or neither")
     w = Window.partitionBy("query_id")
-    sizes = units.groupBy("query_id", "source_id").agg(F.count("*").alias("source_units"))
-    own = candidates(units).join(sizes, ["query_id", "source_id"]).withColumn("terms", tokenize(F.col("text")))
+    sized = units.withColumn("source_units", F.count("*").over(Window.partitionBy("query_id", "source_id")))
+    own = candidates(sized).withColumn("terms", tokenize(F.col("text")))
     own = own.withColumn("units_considered", F.count("*").over(w)).withColumn("avgdl", F.greatest(F.lit(1.0), F.avg(F.size("terms")).over(w)))
     cells = own.select("query_id", "source_id", "unit_idx", "terms", F.col("units_considered").alias("n"), "avgdl").join(query_terms(queries), "query_id")
     cells = cells.withColumn("tf", F.size(F.filter("terms", lambda t: t == F.col("term"))))

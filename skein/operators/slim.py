@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import CJK, count_tokens, python_class
@@ -133,14 +133,14 @@ SCHEMA = (
 
 
 def slim(units: DataFrame, queries: DataFrame, cfg: SlimConfig = SlimConfig(), vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
-    """One context per query that has units.
+    """One context per query that has units; an empty one where none of them can be picked.
 
     ``units``: query_id, source_id, unit_idx, kind, level, text, markdown, heading_path, tokens, title, url.
     """
     scored = score_units(units, queries, cfg.semantic_weight, vectors, query_vectors)
     header = F.concat(F.lit("## "), F.coalesce("title", F.lit("Untitled")), F.lit("\n<"), F.coalesce("url", F.lit("")), F.lit(">"))
     scored = scored.withColumn("overhead", count_tokens(header) + 2).withColumn("query_id", F.col("query_id").cast("long"))
-    # What the loop could never pick, whatever it picked before; the largest row stays so that the query does.
+    # What the loop could never pick, whatever it picked before; one row stays so that the query does.
     hopeless = (
         (F.col("base") < cfg.min_score)
         | (F.col("boilerplate") >= 2)
@@ -148,24 +148,18 @@ def slim(units: DataFrame, queries: DataFrame, cfg: SlimConfig = SlimConfig(), v
         | (F.col("tokens") + UNIT_OVERHEAD > cfg.max_tokens)
     )
     columns = ["query_id", "source_id", "unit_idx", "kind", "level", "text", "markdown", "heading_path", "tokens", "title", "url", "terms", "base", "relevance", "density", "overhead", "units_considered"]
-    kept = scored.where(~hopeless).select(*columns)
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(hopeless, "source_id", "unit_idx")) == 1
+    kept = scored.withColumn("hopeless", hopeless).withColumn("first", first).where(F.col("first") | ~F.col("hopeless")).select(*columns, "hopeless")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source_id", "unit_idx"], kind="stable").reset_index(drop=True)
+        considered = int(group["units_considered"].iloc[0])
+        group = group[~group["hopeless"]].sort_values(["source_id", "unit_idx"], kind="stable").reset_index(drop=True)
         rows = [group.iloc[i].to_dict() for i in sorted(choose(group, cfg))]
         text, selected, sources = render(rows, cfg)
         while rows and estimate(text) > cfg.max_tokens:  # the estimate of the scaffolding was short: the weakest goes
             rows.remove(min(rows, key=lambda r: r["base"]))
             text, selected, sources = render(rows, cfg)
         chosen = [{"source_id": int(r["source_id"]), "unit_idx": int(r["unit_idx"]), "score": float(r["base"]), "relevance": float(r["relevance"]), "density": float(r["density"]), "tokens": int(r["tokens"])} for r in selected]
-        return pd.DataFrame([{"query_id": int(key[0]), "markdown": text, "tokens": estimate(text), "units_considered": int(group["units_considered"].iloc[0]), "selected": chosen, "sources": sources}])
-
-    contexts = kept.groupBy("query_id").applyInPandas(run, SCHEMA)
-    # Queries all of whose units were hopeless have an empty context.
-    counts = scored.groupBy("query_id").agg(F.first("units_considered").cast("int").alias("n"))
-    joined = counts.join(contexts, "query_id", "left")
-    empty = F.array()
-    return joined.select(
-        "query_id", F.coalesce("markdown", F.lit("")).alias("markdown"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.col("n").alias("units_considered"),
-        F.coalesce("selected", empty.cast(contexts.schema["selected"].dataType)).alias("selected"), F.coalesce("sources", empty.cast(contexts.schema["sources"].dataType)).alias("sources"),
-    )
+        return pd.DataFrame([{"query_id": int(key[0]), "markdown": text, "tokens": estimate(text), "units_considered": considered, "selected": chosen, "sources": sources}])
+
+    return kept.groupBy("query_id").applyInPandas(run, SCHEMA)

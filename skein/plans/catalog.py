@@ -12,10 +12,10 @@ from skein.functions import scoring
 from skein.functions import text as T
 from skein.functions import url as U
 from skein.html.extract import extract, links_of, units_of
-from skein.html.listing import CONTROLS, COUNTED
 from skein.html.tree import repair
 from skein.operators import chunking, quality, ranking
 from skein.operators.slim import slim
+from skein.operators.vectors import cosine_topk as nearest
 from skein.pipeline import research
 from skein.plans import oracles
 from skein.sources import crawl, payloads
@@ -90,11 +90,6 @@ def valid_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "searchresults").select("hit_id", U.valid_url(F.col("url")).alias("valid"), U.origin(F.col("url")).alias("origin"))
 
 
-@query
-def internal_host(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", U.internal_host(F.col("final_url")).alias("internal"))
-
-
 @query
 def strip_site_suffix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select("source_id", T.strip_site_suffix(F.concat_ws(" | ", "title", "site_name"), F.col("site_name")).alias("head"))
@@ -106,11 +101,6 @@ def scholarly_snippet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select("source_id", told.alias("snippet"))
 
 
-@query
-def headline_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "searchresults").select("hit_id", T.is_headline(F.coalesce("title", F.lit("")), tuple(sorted(CONTROLS)), tuple(sorted(COUNTED))).alias("headline"))
-
-
 @query
 def density(spark: SparkSession, d: str) -> DataFrame:
     got = _units(spark, d, scoring.density(F.col("text")).alias("d"))
@@ -201,10 +191,8 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", scoring.cosine(F.col("q"), F.col("embedding")).alias("cosine"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where("rank < 10").select("query_id", "rank", F.round("cosine", 4).alias("cosine"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return nearest(spread(vectors), asked, 10).select("query_id", "rank", F.round("cosine", 4).alias("cosine"))
 
 
 @query
@@ -286,13 +274,6 @@ def needs_javascript(spark: SparkSession, d: str) -> DataFrame:
     return pages.join(text, "page_id").select("page_id", crawl.needs_javascript(F.col("body"), F.col("text")).alias("needs"))
 
 
-@query
-def html_redirect(spark: SparkSession, d: str) -> DataFrame:
-    stub = F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), "url", F.lit('">'))
-    pages = table(spark, d, "pages").select("page_id", "final_url", F.when(F.col("url") != F.col("final_url"), stub).otherwise(F.col("body")).alias("body"))
-    return crawl.html_redirects(pages).select("page_id", "redirect")
-
-
 @query
 def fetchable(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", crawl.fetchable(F.col("content_type"), F.col("body")).alias("fetchable"))
@@ -315,12 +296,6 @@ def _robots_files(spark: SparkSession, d: str) -> DataFrame:
     return sites.withColumn("body", body)
 
 
-@query
-def robots_rules(spark: SparkSession, d: str) -> DataFrame:
-    got = crawl.robots_rules(_robots_files(spark, d), "skein")
-    return got.select("origin", F.explode("rules").alias("r"), "crawl_delay").select("origin", "r.allow", "r.pattern", "crawl_delay")
-
-
 @query
 def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
     urls = table(spark, d, "pages").select("page_id", F.col("final_url").alias("url"))
@@ -393,8 +368,9 @@ def furniture_hits(spark: SparkSession, d: str) -> DataFrame:
 def token_cost(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(F.col("page_id").alias("source_id"), "body").dropDuplicates(["source_id"])
     own = table(spark, d, "articles").select("source_id", "markdown", "text").dropDuplicates(["source_id"])
-    cost = quality.token_cost(F.col("body"), F.col("markdown"), F.col("text"))
-    return pages.join(own, "source_id").select("source_id", cost.alias("c")).select("source_id", "c.*")
+    picked = ranking.candidates(table(spark, d, "units").dropDuplicates(["source_id", "unit_idx"])).groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_idx", "markdown"))), lambda u: u["markdown"]), "\n\n").alias("slim"))
+    cost = quality.token_cost(F.col("body"), F.col("markdown"), F.coalesce("slim", F.lit("")))
+    return pages.join(own, "source_id").join(picked, "source_id", "left").select("source_id", cost.alias("c")).select("source_id", "c.*")
 
 
 @query

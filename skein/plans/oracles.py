@@ -162,10 +162,14 @@ WITH h AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider_pos ORDE
 SELECT query_id, provider_pos, CAST(r AS INTEGER) AS rank, CASE WHEN provider_pos % 2 = 0 THEN 'searxng' ELSE 'hackernews' END AS provider, {_normal("coalesce(title, '')")} AS title, url FROM h
 """,
     "sitemap_urls": "SELECT final_url AS url FROM (SELECT DISTINCT ON (page_id) * FROM pages)",
-    "furniture_hits": f"SELECT source_id, {_contains('text', FURNITURE)} AS hits FROM articles",
+    "furniture_hits": f"SELECT source_id, {' + '.join(f'CAST(text ILIKE $$%{p}%$$ AS INTEGER)' for p in FURNITURE)} AS hits FROM articles",
     "token_cost": f"""
-SELECT a.source_id, {_count('body')} AS raw, {_count('markdown')} AS units, {_count('text')} AS slim
-FROM (SELECT DISTINCT ON (page_id) * FROM pages) p JOIN (SELECT DISTINCT ON (source_id) * FROM articles) a ON page_id = source_id
+WITH s AS (
+  SELECT source_id, string_agg(markdown, chr(10) || chr(10) ORDER BY unit_idx) AS slim FROM (SELECT DISTINCT ON (source_id, unit_idx) * FROM units)
+  WHERE (kind IN ('heading', 'code') OR length(text) >= 24) AND coalesce(markdown, '') <> '' GROUP BY 1
+)
+SELECT a.source_id, {_count('body')} AS raw, {_count('markdown')} AS units, {_count("coalesce(slim, '')")} AS slim
+FROM (SELECT DISTINCT ON (page_id) * FROM pages) p JOIN (SELECT DISTINCT ON (source_id) * FROM articles) a ON page_id = source_id LEFT JOIN s ON s.source_id = a.source_id
 """,
     "page_meta": r"""
 SELECT page_id, nullif(trim(regexp_extract(body, '<html[^>]* lang="([^"]*)"', 1)), '') AS language,

@@ -26,7 +26,7 @@ class Element:
 
     def get(self, key: str) -> str:
         m = re.search(rf"""(?:^|\s){key}\s*=\s*(?:"([^"]*)"|'([^']*)')""", self.attributes)
-        return (m[1] if m[1] is not None else m[2]).strip() if m else ""
+        return decode_entities(m[1] if m[1] is not None else m[2]).strip() if m else ""
 
     def all(self, name: str) -> list[Element]:
         out, todo = [], list(reversed(self.children))
@@ -45,8 +45,8 @@ class Element:
         return "".join(self.parts)
 
 
-def _entities(text: str) -> str:
-    """Numeric and named entities; what isn't one stays as it is."""
+def decode_entities(text: str) -> str:
+    """Numeric and named entities; what isn't one stays as it is."""
     if "&" not in text:
         return text
     return unescape(_NAMED.sub(lambda m: m[0] if m[1] + ";" in html5 else f"&amp;{m[1]};", _BARE.sub("&amp;", text)))
@@ -58,7 +58,7 @@ def xml(source: str) -> Element:
     stack = [root]
     at = 0
     for m in _XML.finditer(source):
-        stack[-1].parts.append(_entities(source[at : m.start()]))
+        stack[-1].parts.append(decode_entities(source[at : m.start()]))
         at = m.end()
         if m[1] is not None:
             stack[-1].parts.append(m[1])

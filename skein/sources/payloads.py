@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions.url import wiki_language, wiki_url
+from skein.operators.ranking import rank_hits
 
 HIT = "struct<title:string,url:string,snippet:string>"
 # Other names of providers.
@@ -152,6 +153,8 @@ NATIVE = {
     ),
     "github": _json("message string, items array<struct<full_name:string,html_url:string,description:string,language:string,stargazers_count:long>>", "items", _github, "message"),
 }
+#: Sources that list what they have, whatever the question; and how many sitemaps of an index are read.
+LISTINGS, MAX_CHILDREN = ("rss", "sitemap", "index"), 3
 PARSED = ("duckduckgo", "searxng", "arxiv", "rss", "sitemap", "index")
 
 
@@ -171,6 +174,52 @@ def _parsed(provider: str, body: str, arg: str | None) -> list[tuple[str, str, s
     return D.index_page(body, arg)
 
 
+def with_children(payloads: DataFrame, files: DataFrame) -> DataFrame:
+    """``payloads`` whose sitemap indexes are replaced by the first MAX_CHILDREN sitemaps they name, as far as ``files`` (url, body) holds them.
+
+    A child takes its parent's place in order; of several files with one url the one with the longest body counts.
+    """
+
+    @F.pandas_udf("array<string>")  # type: ignore[call-overload]
+    def children(body: pd.Series) -> pd.Series:
+        from skein.sources import documents as D
+
+        out = []
+        for b in body:
+            try:
+                found = D.sitemap(b or "")
+                out.append([] if found["urls"] else found["sitemaps"][:MAX_CHILDREN])
+            except ValueError:
+                out.append([])
+        return pd.Series(out)
+
+    of_map = provider_name(F.col("provider")) == "sitemap"
+    maps = payloads.where(of_map).withColumn("_children", children("body"))
+    parents = maps.where(F.size("_children") > 0).select("*", F.posexplode("_children").alias("_at", "_child")).drop("body")
+    stored = files.groupBy(F.col("url").alias("_child")).agg(F.max_by("body", F.length("body")).alias("_body"))
+    keys = [c for c in payloads.columns if c != "body"]
+    joined = parents.join(stored, "_child").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_body"))).alias("_bodies"))
+    merged = joined.select(*keys, F.concat(F.lit("<urlset>"), F.array_join(F.transform("_bodies", lambda x: x["_body"]), "\n"), F.lit("</urlset>")).alias("body"))
+    lonely = maps.where(F.size("_children") == 0).select(*payloads.columns)
+    rest = payloads.where(~F.coalesce(of_map, F.lit(False)))
+    return rest.unionByName(lonely).unionByName(merged.select(*payloads.columns))
+
+
+def ranked(hits: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """``hits`` with those of feeds, sitemaps and listings ordered by what their query (query_id, q) asks, the best ``limit`` per answer.
+
+    Such a source lists everything it has, whatever the question. Entries without a shared word fall
+    away; an empty question keeps their order. Each answer is its own collection.
+    """
+    listing = F.col("provider").isin(*LISTINGS)
+    key = F.struct("query_id", "provider_pos", "provider")
+    own = hits.where(listing).withColumn("_key", F.to_json(key)).withColumn("hit_id", F.col("rank"))
+    asked = own.select("_key", "query_id").distinct().join(queries, "query_id").select(F.col("_key").alias("query_id"), "q")
+    found = rank_hits(own.drop("query_id").withColumnRenamed("_key", "query_id"), asked, limit).select(F.col("query_id").alias("_key"), "hit_id", "position")
+    best = own.join(found, ["_key", "hit_id"]).withColumn("rank", F.col("position")).select(*hits.columns)
+    return hits.where(~listing).unionByName(best)
+
+
 def parse_hits(payloads: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, failures) of recorded answers.
 
@@ -193,7 +242,7 @@ def parse_hits(payloads: DataFrame, limit: int | None = None) -> tuple[DataFrame
         for p, b, a in zip(provider, body, arg):
             try:
                 found = _parsed(p, b, a)
-                told.append(None if found or p in ("rss", "sitemap", "index") else "no hits")
+                told.append(None if found else "no hits")
             except ValueError as e:
                 found = []
                 told.append(f"unexpected payload: {e}"[:300])

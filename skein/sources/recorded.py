@@ -10,7 +10,8 @@ import os
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FIELDS = "url final_url status content_type body elapsed_ms rendered".split()
@@ -61,5 +62,17 @@ class RecordedPages(DataSource):
         return _Reader(self.options)
 
 
+def read_recorded(spark: SparkSession, path: str, textual: bool = False) -> DataFrame:
+    """Recorded pages from any file system that Spark reads; large files are split. The same rows as ``recorded_pages``.
+
+    A missing final_url is the url, a missing ``rendered`` false; blank and broken lines are left out.
+    """
+    raw = spark.read.schema(RecordedPages.schema(None) + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)  # type: ignore[arg-type]
+    own = raw.where("_broken is null and url is not null").withColumn("final_url", F.coalesce("final_url", "url")).withColumn("rendered", F.coalesce("rendered", F.lit(False)))
+    if textual:
+        own = own.where(F.lower(F.coalesce("content_type", F.lit("text/"))).rlike(r"^\s*(?:text/|application/(?:xhtml|xml|json))"))
+    return own.select(*FIELDS)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordedPages)
