@@ -107,6 +107,12 @@ def _left(line: str, start: int, mark: str, closed: str, introduced: bool, gap:
     word = line[at:start]
     if not word.isalnum():
         word = (word.split() or [""])[-1].lstrip("(（“„«\"「") if word[-1:] not in _SPACES else ""
+    return _before(word)
+
+
+@lru_cache(1 << 16)
+def _before(word: str) -> tuple[str, str]:
+    """The context of a word and a full stop."""
     if not word:
         return "< >.", "< >."
     if "/" in word or "=" in word:
@@ -124,12 +130,14 @@ def _right(line: str, at: int, before: str = "a") -> tuple[str, str]:
     lower-case Latin words speak against a new sentence.
     """
     m = _WORD.match(line, at)
-    if not m:
-        return "", ""
-    w = m[0]
+    return _behind(m[0], before.isalpha() and before.lower() == before.upper()) if m else ("", "")
+
+
+@lru_cache(1 << 16)
+def _behind(w: str, caseless: bool) -> tuple[str, str]:
     if _DENSE.match(w):
         return w[:2], "<dense>"
-    if (w[0].isdigit() or w[0].islower()) and before.isalpha() and before.lower() == before.upper():
+    if caseless and (w[0].isdigit() or w[0].islower()):
         return "", ""
     return w, _shape(w)
 
@@ -281,6 +289,9 @@ Key = tuple[int, str, str, str, str]  # kind, context and its class, next word a
 def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
     """Add what distinct lines hold: certain events by context, open events, starts, words inside sentences, and how often events are near."""
     inner: Counter[str] = Counter()
+    ends: list[tuple[str, str]] = []
+    open_ones: list[tuple[tuple[str, str], tuple[str, str]]] = []
+    behind: list[str] = []
     marked_lines = single = following = near = 0
     for line in lines:
         body = line.rstrip()
@@ -295,13 +306,13 @@ def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
             if c.sure:
                 continue
             if c.end >= len(body):
-                counts[END, *c.left, "", ""] += 1
+                ends.append(c.left)
                 marked = True
             else:
-                counts[OPEN, *c.left, *c.right] += 1
+                open_ones.append((c.left, c.right))
                 w = _WORD.match(body, c.begin)
                 if w:
-                    inner[w[0]] -= 1
+                    behind.append(w[0])
             following += open_
             near += open_ and c.near
             open_ = 1
@@ -309,6 +320,11 @@ def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
             counts[START, "", "", *_right(body, begin)] += 1
             marked_lines += 1
             single += len(found) == 1 and body.find(" ", begin) < 0
+    for left, n in Counter(ends).items():
+        counts[END, *left, "", ""] += n
+    for (left, right), n in Counter(open_ones).items():
+        counts[OPEN, *left, *right] += n
+    inner.subtract(behind)
     for w, n in inner.items():
         if n > 0 and w[0].isalnum():
             counts[INNER, "", "", *_right(w, 0)] += n
