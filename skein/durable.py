@@ -41,4 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skein/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once nothing will read it again."""
+    for df in cuts:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
