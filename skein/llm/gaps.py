@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.durable import cut
+from skein.durable import cut, drop
 from skein.llm.languages import forward_backward
 from skein.llm.sentences import MOST_KEPT, _shape, distinct_lines, summed
 
@@ -166,6 +166,7 @@ def learn_gaps(documents: DataFrame) -> GapModel:
         for w, a, b in got:
             right[("\n" if name == "token" else "") + w] = min(6.0, max(-8.0, math.log((a + 0.3) / begun) - math.log((b + 0.3) / going)))
     lengths = {r[0]: r[1] for r in counts.where(F.col("kind") == LENGTH).groupBy("context").agg(F.sum("n")).collect()}
+    drop(counts)
     single = (lengths.get("1", 0) + 0.5) / (sum(lengths.values()) + 2.0)
     return GapModel(left, right, np.log(np.array([[1.0, 1.0], [1.0, single]])))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.durable import cut
+from skein.durable import cut, drop
 from skein.llm.blocks import Page, parse, squeeze
 from skein.llm.repeated_lines import site_of
 from skein.llm.words import features
@@ -258,6 +258,7 @@ def learn(pages: DataFrame) -> Weights:
             for r in kept
             if r.name is not None
         }
+    drop(seen, texts, sure)
     return Weights(weights, {r.name: r.n for r in roots})
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.durable import cut
+from skein.durable import cut, drop
 
 ROUNDS = 5
 #: Times that a context and a word must be met to have odds of their own.
@@ -410,6 +410,7 @@ def learn_all(documents: DataFrame) -> Model:
         "n",
     )
     rows = known.groupBy("kind", "l", "ls", "r", "rs").agg(F.sum("n").alias("n")).orderBy("kind", "l", "ls", "r", "rs").toArrow()
+    drop(counts, lefts)
     columns = [rows.column(i).to_pylist() for i in range(6)]
     return _fit(dict(zip(zip(*columns[:5]), columns[5])), left)
 
