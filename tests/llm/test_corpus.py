@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,6 +374,20 @@ def test_repetitive_texts(spark):
     assert {(r.a, r.b) for r in links.collect()} == {(0, 1), (2, 3)}
 
 
+@pytest.mark.parametrize(("size", "blocks"), [(100, 8), (1000, 8)])
+def test_a_block_passes_on_its_pairs_in_steps(monkeypatch, size, blocks):
+    monkeypatch.setattr(near_duplicates, "HOT", 2)
+    texts, columns = 200, 12
+    kind = pa.schema([("block", pa.int32()), ("rep", pa.int64()), ("n", pa.int32()), ("fps", pa.list_(pa.int32())), ("most", pa.list_(pa.int16()))])
+    rows = [[0] * texts, [texts - i for i in range(texts)], [size] * texts, [list(range(columns))] * texts, [[15000] * columns] * texts]
+    block = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, kind)], schema=kind)
+    steps = list(near_duplicates._product(0.5, blocks)(iter([block])))
+    assert max(b.num_rows for b in steps) <= 2000 and sum(b.num_rows for b in steps) == texts * (texts - 1) // 2
+    got = {(r["a"], r["b"]): (r["need"], r["met"]) for b in steps for r in b.to_pylist()}
+    need = int((size * 2 + 2) // 3 * near_duplicates.EXTRA)
+    assert got == {(a, b): (need % blocks, columns - need // blocks) for a in range(1, texts + 1) for b in range(a + 1, texts + 1)}
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
