@@ -374,6 +374,20 @@ def test_repetitive_texts(spark):
     assert {(r.a, r.b) for r in links.collect()} == {(0, 1), (2, 3)}
 
 
+def test_common_columns_come_last(spark):
+    rng = random.Random(9)
+    passage, *own = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400)) for _ in range(13))
+    texts = frame(spark, [(i, passage + x) for i, x in enumerate(own)], "rep long, body string")
+    places, often = near_duplicates.column_order(texts, len(own))
+    common = {int(h) >> 64 - near_duplicates.ORDER_BITS for h in near_duplicates.shingle_hashes(passage)}
+    assert common <= set(places.tolist()) and often.dtype == np.uint8 and set(often.tolist()) == {int(16 * np.log2(12))}
+    rows = near_duplicates._rows(texts, 0.5, 1, len(own)).collect()
+    halves = {r.rep: {f & 0xFFFFFFFF for f in r.fps} for r in rows}
+    for i, x in enumerate(own):
+        assert {int(h) >> 32 for h in near_duplicates.shingle_hashes(x)} <= halves[i]
+    assert all(len(near_duplicates.shingle_hashes(b)) == len(near_duplicates.shingles(b)) for b in (passage * 3, "short", "x" * 40, "", "👍🏽" * 20 + own[0]))
+
+
 @pytest.mark.parametrize(("size", "blocks"), [(100, 8), (1000, 8)])
 def test_a_block_passes_on_its_pairs_in_steps(monkeypatch, size, blocks):
     monkeypatch.setattr(near_duplicates, "HOT", 2)
