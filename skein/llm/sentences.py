@@ -16,10 +16,12 @@ class of the rest. It is applied to every document as a whole, in one pass.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -50,6 +52,7 @@ _THAI_SPACE = re.compile("(?<=[฀-๿])[ \t\u00a0]+(?=[฀-๿])")
 _STOPS, _WESTERN = frozenset(".…"), frozenset("!?")
 _MARKER = re.compile(r"\s*(?:(?:[*•·‣▪◦\-–—+]|#{1,6}|\d{1,3}[.)．、]|[A-Za-z][.)]|[A-Za-z]{1,2}[:：]|>)\s+)+")
 _WORD = re.compile(r"[^\W\d_]+|\d+|\S")
+_ALNUM = re.compile(r"[^\W\d_]+|\d+")
 _DENSE = re.compile("[぀-ヿ㐀-鿿]")
 _WIDE = frozenset("。！？")
 _JOINS = frozenset("_/,;:-–%")
@@ -72,6 +75,18 @@ class Candidate(NamedTuple):
     begin: int  # of what stands behind it
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for cycles, which would go through all that is held again and again; nothing here makes any."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _DIGITS = tuple(f"<d{n}>" for n in range(5))
 
 
@@ -96,14 +111,15 @@ def _left(line: str, start: int, mark: str, closed: str, introduced: bool, gap:
     first = mark[0]
     if first in _WIDE and not closed:
         return "<wide>", "<wide>"
-    kind = first if len(set(mark)) == 1 and len(mark) < 3 else mark[:2] + "+"
+    kind = first if len(mark) == 1 or mark == first * 2 else mark[:2] + "+"
     space = "_" if gap and first not in _WIDE else ""  # wide marks need no space
     if closed:
         name = f"{kind}{closed[-1]}{':' if introduced else '|' if opening else ''}{space}"
         return name, name
     if kind != ".":
         return kind + space, kind + space
-    at = line.rfind(" ", max(0, start - 40), start) + 1 or max(0, start - 40)
+    low = start - 40 if start > 40 else 0
+    at = line.rfind(" ", low, start) + 1 or low
     word = line[at:start]
     if not word.isalnum():
         word = (word.split() or [""])[-1].lstrip("(（“„«\"「") if word[-1:] not in _SPACES else ""
@@ -130,7 +146,12 @@ def _right(line: str, at: int, before: str = "a") -> tuple[str, str]:
     lower-case Latin words speak against a new sentence.
     """
     m = _WORD.match(line, at)
-    return _behind(m[0], before.isalpha() and before.lower() == before.upper()) if m else ("", "")
+    return _behind(m[0], _caseless(before)) if m else ("", "")
+
+
+@lru_cache(1 << 16)
+def _caseless(c: str) -> bool:
+    return c.isalpha() and c.lower() == c.upper()
 
 
 @lru_cache(1 << 16)
@@ -289,6 +310,7 @@ Key = tuple[int, str, str, str, str]  # kind, context and its class, next word a
 def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
     """Add what distinct lines hold: certain events by context, open events, starts, words inside sentences, and how often events are near."""
     inner: Counter[str] = Counter()
+    words: list[str] = []
     ends: list[tuple[str, str]] = []
     open_ones: list[tuple[tuple[str, str], tuple[str, str]]] = []
     behind: list[str] = []
@@ -298,8 +320,12 @@ def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
         m = _MARKER.match(body)
         begin = m.end() if m else len(body) - len(body.lstrip())
         found = candidates(body + " \u0001", begin)
-        words = _WORD.findall(body, begin)
-        inner.update(words[1:])
+        m = _WORD.search(body, begin)
+        if m:
+            words += _ALNUM.findall(body, m.end())
+        if len(words) > HELD_COUNTS:
+            inner.update(words)
+            words.clear()
         marked = False
         open_ = 0
         for c in found:
@@ -324,10 +350,11 @@ def count_lines(lines: Iterable[str], counts: Counter[Key]) -> None:
         counts[END, *left, "", ""] += n
     for (left, right), n in Counter(open_ones).items():
         counts[OPEN, *left, *right] += n
+    inner.update(words)
     inner.subtract(behind)
     for w, n in inner.items():
         if n > 0 and w[0].isalnum():
-            counts[INNER, "", "", *_right(w, 0)] += n
+            counts[INNER, "", "", *_behind(w, False)] += n
     for name, n in (("line", marked_lines), ("single", single), ("following", following), ("near", near)):
         counts[PAIR, name, "", "", ""] += n
 
@@ -371,11 +398,12 @@ def summed(lines: DataFrame, count: Callable[[Iterable[str], Counter], None], na
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
-        for batch in batches:
-            count(batch.column(0).to_pylist(), counts)
-            if len(counts) > HELD_COUNTS:
-                yield flush()
-        yield flush()
+        with uncollected():
+            for batch in batches:
+                count(batch.column(0).to_pylist(), counts)
+                if len(counts) > HELD_COUNTS:
+                    yield flush()
+            yield flush()
 
     schema = f"kind int, {', '.join(f'{k} string' for k in names)}, n long"
     return lines.mapInArrow(run, schema).groupBy("kind", *names).agg(F.sum("n").alias("n"))
@@ -494,15 +522,16 @@ def sentences(documents: DataFrame, model: Model) -> DataFrame:
     kind = pa.schema([("doc_id", pa.int64()), ("start_char", pa.int32()), ("end_char", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, starts, ends = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    found = spans(text, model)
-                    ids += [doc] * len(found)
-                    for a, b in found:
-                        starts.append(a)
-                        ends.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=kind)
+        with uncollected():
+            for batch in batches:
+                ids, starts, ends = [], [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if text:
+                        found = spans(text, model)
+                        ids += [doc] * len(found)
+                        for a, b in found:
+                            starts.append(a)
+                            ends.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=kind)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start_char int, end_char int")

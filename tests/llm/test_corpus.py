@@ -523,6 +523,19 @@ def test_counts_of_all_documents(spark):
     assert sentences.learn_all(frame(spark, [], "doc_id long, text string, n int")).right == {}
 
 
+def test_words_are_counted_in_parts_without_collection(monkeypatch):
+    lines = {"We met Qzx. “Harbor 7, he said!” (See Fig. 3.) It_was v2.0 here.", "１２ ａｂ é 会議。十人 à la carte.", "  * . , _", "हिन्दी में लिखा। दूसरा वाक्य। 5 कि.मी."}
+    whole, parts = sentences.Counter(), sentences.Counter()
+    sentences.count_lines(lines, whole)
+    inner = {k[3]: n for k, n in whole.items() if k[0] == sentences.INNER}
+    assert inner["met"] == inner["Qzx"] == 1 and "," not in inner and "_" not in inner and "We" not in inner
+    monkeypatch.setattr(sentences, "HELD_COUNTS", 3)
+    with sentences.uncollected():
+        assert not sentences.gc.isenabled()
+        sentences.count_lines(lines, parts)
+    assert sentences.gc.isenabled() and parts == whole
+
+
 def test_queries_are_named(spark):
     from skein.llm.oracles import ORACLES
     from skein.llm.queries import QUERIES
