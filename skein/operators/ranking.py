@@ -5,12 +5,15 @@ Rows are identified by (source_id, unit_idx) and query_id; order is always an ex
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import scoring
 from skein.functions.text import tokenize
 from skein.functions.url import canonical_url, slug_words
+from skein.operators import postings
 
 K1, B = 1.2, 0.75
 #: Rank damping of reciprocal rank fusion.
@@ -34,18 +37,10 @@ def _weight(idf: Column, tf: Column, length: Column, avgdl: Column, k1: float, b
 def bm25_score(units: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, source_id, unit_idx, bm25) of every unit that shares a term with the query.
 
-    Statistics are over all of ``units`` (source_id, unit_idx, tokens). Only terms that some query asks
-    for are shuffled: tokens are semi-joined with them before term frequencies are counted.
+    Statistics are over all of ``units`` (source_id, unit_idx, tokens; each unit once). A unit's scores are made
+    where its tokens are: only term frequencies are summed over the table.
     """
-    asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    cells = units.select("source_id", "unit_idx", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    tf = cells.join(wanted, "term", "left_semi").groupBy("term", "source_id", "unit_idx", "len").agg(F.count("*").alias("tf"))
-    stats = bm25_stats(units)
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", scoring.bm25_idf(n, F.col("df")))
-    scored = tf.join(df, "term").withColumn("w", _weight(F.col("idf"), F.col("tf"), F.col("len"), avgdl, k1, b))
-    return scored.join(asked, "term").groupBy("query_id", "source_id", "unit_idx").agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
+    return postings.scores(units, query_terms(queries), partial(_weight, k1=k1, b=b))
 
 
 def bm25_topk(units: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
