@@ -46,7 +46,8 @@ def bm25_score(units: DataFrame, queries: DataFrame, k1: float = K1, b: float =
 def bm25_topk(units: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best units of every query with their ``rank`` from 0; ties by source and unit."""
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "source_id", "unit_idx")
-    return bm25_score(units, queries).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    best = postings.scores(units, query_terms(queries), partial(_weight, k1=K1, b=B), max(1, k))
+    return best.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
 def rrf_fuse(hits: DataFrame, limit: int | None = 10, k: int = RRF_K) -> DataFrame:

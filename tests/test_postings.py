@@ -59,3 +59,22 @@ def test_no_query_gives_no_score(spark):
     _, _, a, b = tables(spark)
     assert ranking.bm25_score(a, b.where("query_id in (91, 92)")).count() == 0
     assert ranking.bm25_score(a.limit(0), b).count() == 0
+
+
+def test_topk_with_ties(spark, sizes):
+    units, asked, a, b = tables(spark)
+    by_query = {}
+    for (q, s, u), score in brute(units, asked).items():
+        by_query.setdefault(q, []).append((-round(score, 9), s, u))
+    got = {}
+    for r in ranking.bm25_topk(a, b, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-round(r.bm25, 9), r.source_id, r.unit_idx))
+    assert got == {q: sorted(x)[:4] for q, x in by_query.items()}
+
+
+def test_topk_shuffles_the_best_of_each_task(spark):
+    _, _, a, b = tables(spark)
+    best = ranking.bm25_topk(a, b, 2)
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    passed = postings.scores(a, ranking.query_terms(b), lambda idf, tf, length, avgdl: idf * tf, 2)
+    assert passed.count() <= 2 * b.count() * spark.sparkContext.defaultParallelism < ranking.bm25_score(a, b).count()
